@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import share_code
+
 #: Bytes of text that one step inside a task handles at once.
 SLICE_BYTES = 2 << 20
 
@@ -28,6 +30,7 @@ _S = np.uint64(33)
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of an input folder, which may lie in any store that Spark reads."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

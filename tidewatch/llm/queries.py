@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, packing, pieces
+from . import binary, media, packing, pieces, quality, sharding
 from .common import read_table
 
 
@@ -25,9 +25,21 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(read_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read_table(spark, sf_dir, "documents"), shards=8)
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(read_table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.write_and_check(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op6_pieces, op10_binary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op6_pieces, op7_sharding, op8_media, op9_quality, op10_binary)}
 ORACLE_SQL: dict[str, str] = {}
