@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_dir, shuffle_partitions, slices
-from .tokens import SpaceLedEncoder
+from .tokens import SpaceLedEncoder, encoder
 
 #: Ids in a transposed block, and ids after which a chunk is closed.
 BLOCK, CHUNK_IDS = 4096, 1 << 18
@@ -55,7 +55,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, kind: str
     def run(batches):
         import zstandard
 
-        enc, end, pack = SpaceLedEncoder(tokenizer), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=level)
+        enc, end, pack = encoder(SpaceLedEncoder, tokenizer), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=level)
         shard, chunk, first, held, size, index = TaskContext.get().partitionId(), 0, 0, [], 0, []
 
         def stored() -> pa.RecordBatch:

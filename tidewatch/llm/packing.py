@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, slices
-from .tokens import WhitespaceFreeEncoder
+from .tokens import WhitespaceFreeEncoder, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_from", "rank_to", "per_sequence", "sequence", "offset")])
@@ -35,7 +35,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFram
     """Tokenize and cut what is longer than `capacity`: one row per piece."""
 
     def run(batches):
-        enc, end = WhitespaceFreeEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(WhitespaceFreeEncoder, tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = []

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import slices
-from .tokens import MarkedWordEncoder
+from .tokens import MarkedWordEncoder, encoder
 
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """doc_id and `ids` (array of int), exactly as the library encodes, without begin or end ids."""
 
     def run(batches):
-        enc = MarkedWordEncoder(model)
+        enc = encoder(MarkedWordEncoder, model)
         for batch in batches:
             for part in slices(batch, text):
                 ids = [np.frombuffer(enc(t or ""), "<u4") for t in part.column(text).to_pylist()]
@@ -58,7 +58,7 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches):
-        enc = MarkedWordEncoder(model)
+        enc = encoder(MarkedWordEncoder, model)
         names = np.array([str(i) for i in range(enc.model.get_piece_size())], dtype=object)
         for batch in batches:
             for part in slices(batch):

@@ -1,88 +1,140 @@
 """Exact tokenization through a table of distinct chunks.
 
 A chunk is a stretch of text that the tokenizer's own rules never cross, so its
-ids do not depend on what surrounds it. Each task keeps a bounded table from
-chunk to ids, asks the library only for chunks that are not in it, and joins the
-ids back by position. The results equal those of encoding whole texts.
+ids do not depend on what surrounds it. Each Python worker keeps a bounded table
+from chunk to ids, asks the library only for chunks that are not in it, and joins
+the ids back by position. The results equal those of encoding whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Chunks that a task's table holds before it starts anew; bounds memory, not results.
-TABLE_CHUNKS = 300_000
+#: Chunks in each of a table's two generations; bounds memory, not results.
+TABLE_CHUNKS = 400_000
 
 
 class ChunkTable(dict):
-    """Chunk -> little-endian unsigned 32-bit ids; misses are encoded by the library in batches."""
+    """Chunk -> little-endian unsigned 32-bit ids. When full, the entries become the old generation, of which only those used again are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
+    def __init__(self, encode: Callable[[str], bytes], limit: int = TABLE_CHUNKS):
         super().__init__()
-        self.encode = encode
-
-    def add(self, chunks: Iterable[str]) -> None:
-        fresh = list(set(chunks).difference(self))
-        if fresh:
-            self.update(zip(fresh, (np.array(ids, "<u4").tobytes() for ids in self.encode(fresh)), strict=True))
+        self.encode, self.limit, self.old = encode, limit, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def ids(self, chunks: list[str]) -> bytes:
         """The ids of consecutive chunks, joined by position."""
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            if len(self) > TABLE_CHUNKS:
-                self.clear()
-            self.add(chunks)
-            return b"".join(map(self.__getitem__, chunks))
+        return b"".join(map(self.__getitem__, chunks))
+
+
+def packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    return out.tobytes() if out.itemsize == 4 and np.little_endian else np.array(ids, "<u4").tobytes()
+
+
+_ready: dict[tuple[type, str], object] = {}
+
 
+def encoder(kind: type, path: str):
+    """The worker's encoder of this kind; its table serves all tasks that the worker runs."""
+    if (kind, path) not in _ready:
+        _ready[kind, path] = kind(path)
+    return _ready[kind, path]
 
-def _library(path: str) -> Callable[[list[str]], list[list[int]]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
-    return lambda texts: [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 stands for itself, the rest follows from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
+class _Bpe:
+    """A `tokenizers` file. Pre-tokens of common letters go straight to its model; any other text through the whole of it."""
+
+    _letters = _byte_letters()
+    #: Letters whose classes no version of Unicode changes, so that this side may split them.
+    _common = re.compile("[\x21-\x7e \n¡-ɏ]*")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
+        self.model = self.tok.model
+        self.pre = ChunkTable(lambda p: packed([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self._letters))]), 200_000)
 
+    def whole(self, text: str) -> bytes:
+        return packed(self.tok.encode(text, add_special_tokens=False).ids)
 
-class SpaceLedEncoder:
+
+class SpaceLedEncoder(_Bpe):
     """Byte-level BPE whose pre-tokens may begin with one space: a boundary lies before each space that precedes a non-space."""
 
     _cut = re.compile(r" (?=\S)")
+    _odd = re.compile(r" (?=\s|$)")
 
     def __init__(self, path: str):
-        self.table = ChunkTable(_library(path))
+        import public_tokenizers
+        import regex
 
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = self._cut.split(text)
-        head = parts[0]
-        body = [" " + x for x in parts[1:]]
-        return self.table.ids([head, *body] if head else body)
+        super().__init__(path)
+        self.split = regex.compile(public_tokenizers.PATTERN)
+        self.table = ChunkTable(self._chunk)  # without the space that leads a chunk
+        self.heads = ChunkTable(self._piece, 50_000)
+
+    def _piece(self, text: str) -> bytes:
+        return self.pre.ids(self.split.findall(text)) if self._common.fullmatch(text) else self.whole(text)
 
+    def _chunk(self, text: str) -> bytes:
+        return self._piece(" " + text)
 
-class WhitespaceFreeEncoder:
-    """BPE with word ends that drops white space: any space or line break is a boundary."""
+    def __call__(self, text: str) -> bytes:
+        parts = self._cut.split(text) if self._odd.search(text) else text.split(" ")
+        return self.heads[parts[0]] + self.table.ids(parts[1:])
 
-    _cut = re.compile(r"[ \n]+")
+
+class WhitespaceFreeEncoder(_Bpe):
+    """BPE with word ends that drops white space and lowers case: any space or line break is a boundary."""
 
     def __init__(self, path: str):
-        self.table = ChunkTable(_library(path))
+        import regex
+
+        super().__init__(path)
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.table = ChunkTable(self._chunk)
+
+    def _chunk(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self._common.fullmatch(text):
+            return self.whole(text)
+        return self.pre.ids(self.split.findall(text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)))
 
     def __call__(self, text: str) -> bytes:
-        return self.table.ids(self._cut.split(text)) if text else b""
+        return self.table.ids(text.replace("\n", " ").split(" "))
 
 
 class MarkedWordEncoder:
     """SentencePiece model whose pieces never hold a marker after another character: each marked word stands alone."""
 
     _word = re.compile("▁+[^▁]*")
+    _odd = re.compile("▁|  |^ | $")
 
     def __init__(self, path: str):
         import sentencepiece
@@ -91,13 +143,15 @@ class MarkedWordEncoder:
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
         #: Whole texts are segmented at once if some piece crosses a marker, so that ids stay exact.
         self.whole = any(re.search("[^▁]▁", p) for p in pieces) or self.model.encode("  a ") != self.model.encode("▁▁a▁")
-        # The model puts one marker before what it encodes, so each word goes in without its first.
-        lone = [self.model.piece_to_id("▁")]
-        self.table = ChunkTable(lambda found: [ids if w != "▁" else lone for w, ids in zip(found, self.model.encode([w[1:] for w in found], num_threads=1))])
+        # The model puts one marker before what it encodes, so words go in without their first.
+        lone = packed([self.model.piece_to_id("▁")])
+        self.table = ChunkTable(lambda w: packed(self.model.encode(w)) if w else lone)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if self.whole:
-            return np.array(self.model.encode(text), "<u4").tobytes()
-        return self.table.ids(self._word.findall("▁" + text.replace(" ", "▁")))
+            return packed(self.model.encode(text))
+        if self._odd.search(text):
+            return self.table.ids([w[1:] for w in self._word.findall("▁" + text.replace(" ", "▁"))])
+        return self.table.ids(text.split(" "))
