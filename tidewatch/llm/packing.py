@@ -27,8 +27,8 @@ from .tokens import WhitespaceFreeEncoder, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "rank_from", "rank_to", "per_sequence", "sequence", "offset")])
-#: Rows of one length that share a window partition when ranks are given.
-RANK_ROWS = 100_000
+#: Rows of one length that share a window partition when ranks are given, and the fewest groups of a length.
+RANK_ROWS, RANK_GROUPS = 100_000, 64
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -101,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = pieces.sparkSession
     # Ranks within a length: rows of a length are dealt over groups, each ranked on its own and shifted by the groups before it.
     total = pieces.count()
-    groups = max(1, total // RANK_ROWS)
+    groups = max(RANK_GROUPS, total // RANK_ROWS)
     dealt = pieces.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     sizes = dealt.groupBy("length", "_g").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
