@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, brown, media, near, packing, pieces, quality, sharding, suffix
+from . import binary, brown, lines, media, near, packing, pieces, quality, sharding, suffix
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.classes(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
@@ -53,5 +57,5 @@ def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.write_and_check(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix, op2_brown, op3_near, op5_packing, op6_pieces, op7_sharding, op8_media, op9_quality, op10_binary)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix, op2_brown, op3_near, op4_lines, op5_packing, op6_pieces, op7_sharding, op8_media, op9_quality, op10_binary)}
 ORACLE_SQL: dict[str, str] = {}
