@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def share_code(spark: SparkSession) -> SparkSession:
@@ -16,3 +17,14 @@ def share_code(spark: SparkSession) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written below spark.checkpoint.dir and read back, so that a long plan is worked once; as it is where no such folder is set."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
