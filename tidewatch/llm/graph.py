@@ -35,21 +35,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of each member of a bucket with its least and its greatest node (columns bucket, node, low, high)."""
-    ends = members.select("node", F.explode(F.array("low", "high")).alias("end")).where(F.col("node") != F.col("end"))
-    return ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
+def star_pairs(members: DataFrame, *ends: str) -> DataFrame:
+    """Pairs (a, b), a < b, of each member of a bucket with the bucket's `ends` (columns of nodes)."""
+    each = members.select("node", F.explode(F.array(*ends)).alias("end")).where(F.col("node") != F.col("end"))
+    return each.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, close: Column | None = None) -> DataFrame:
-    """Pairs of one bucket whose nodes do not share a component yet.
+def with_hub(members: DataFrame) -> DataFrame:
+    """Add `hub`, the bucket's node that meets the most others over all buckets: likely the text that the others derive from."""
+    size = members.groupBy("bucket").agg(F.count("*").alias("_size"))
+    score = members.join(size, "bucket").groupBy("node").agg(F.sum("_size").alias("_score"))
+    hub = members.join(score, "node").groupBy("bucket").agg(F.max(F.struct("_score", "node")).alias("_h"))
+    return members.join(hub.select("bucket", F.col("_h.node").alias("hub")), "bucket")
 
-    A bucket whose members are all connected gives none, so copies are never expanded into all pairs;
-    only nodes that no verified link joins are compared one by one. `close` may use l.* and r.*.
-    """
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their labels, of buckets whose nodes do not all share a component yet."""
     own = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-    left = materialize(own.join(mixed, "bucket"))
+    return own.join(mixed, "bucket")
+
+
+def open_pairs(left: DataFrame, close: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of one bucket with different labels, of written open members. `close` may use l.* and r.*.
+
+    A bucket whose members are all connected has none, so copies are never expanded into all pairs.
+    """
     l, r = left.alias("l"), left.alias("r")
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.label") != F.col("r.label"))
     return l.join(r, on & close if close is not None else on).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
