@@ -96,9 +96,9 @@ def shared_filter(docs: DataFrame) -> bytes:
     found = docs.select("doc_id", "text").mapInArrow(run, "d1 long, d2 long").groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1")
     at = found.select(F.explode(F.array("d1", "d2")).alias("d")).select(F.col("d").bitwiseAND(FILTER_BITS - 1).alias("p"))
     one = F.expr("shiftleft(1L, cast(p & 63 as int))")
-    cells = at.groupBy((F.shiftright("p", 6)).alias("cell")).agg(F.bit_or(one).alias("bits")).toPandas()
+    cells = at.groupBy((F.shiftright("p", 6)).alias("cell")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
     return out.tobytes()
 
 
