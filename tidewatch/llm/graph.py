@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Rows up to which a table of fixed-width rows (under 64 bytes each) is broadcast; larger ones join by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
