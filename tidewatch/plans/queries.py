@@ -336,7 +336,7 @@ def ip_diversity(spark, d):
 def _scored(spark, d):
     a = _indicated(spark, d).where(indicators.route() == "scored")
     learnt = baseline.preload(windows.buckets(src.access(spark, d)))
-    wide = windows.ema(windows.window_counters(a))
+    wide = written(windows.ema(windows.window_counters(a)))
     return scorer.score(wide, scorer.literals(learnt))
 
 

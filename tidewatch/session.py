@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -20,11 +23,15 @@ def share_code(spark: SparkSession) -> SparkSession:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read back, so that a long plan is worked once; as it is where no such folder is set."""
+    """`df` written below spark.checkpoint.dir and read back, so that a long plan is optimised and worked once.
+
+    Only where that is unset, as in tests, a temporary folder takes its place.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return df
+        base = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
