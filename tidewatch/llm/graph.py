@@ -49,10 +49,13 @@ def with_hub(members: DataFrame) -> DataFrame:
     return members.join(hub.select("bucket", F.col("_h.node").alias("hub")), "bucket")
 
 
-def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with their labels, of buckets whose nodes do not all share a component yet."""
+def open_members(members: DataFrame, labels: DataFrame, met: int) -> DataFrame:
+    """The members, with their labels, of buckets whose nodes do not all share a component yet.
+
+    Buckets of at most `met` nodes are left out: there the star pairs have compared all.
+    """
     own = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("k")).where((F.col("x") != F.col("y")) & (F.col("k") > met)).select("bucket")
     return own.join(mixed, "bucket")
 
 

@@ -237,7 +237,7 @@ def labels(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = materialize(star_pairs(found, "low", "high", "hub"))
     links = verified(shingle_sets(nodes, stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()), stars, threshold)
     first = components(links)
-    still = materialize(open_members(found.select("bucket", "node"), first))
+    still = materialize(open_members(found.select("bucket", "node"), first, met=3))
     if still.isEmpty():
         return first
     sets = shingle_sets(nodes, still.select("node").distinct())
