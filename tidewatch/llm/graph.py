@@ -19,20 +19,21 @@ def small(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """`node`, `label` for the nodes of `edges` (a, b): the least node of each connected component.
 
-    Labels fall to the least label among the neighbours and then to their label's label, until none changes.
-    Every round is written, so its work does not pile up. Hot nodes are met by partial aggregation and by
-    joins that adaptive execution can split. No edges give no rows.
+    Each round hangs every node under its least neighbour, if that is less, and under that one's parent, and then
+    contracts the edges to the parents, so that rounds shrink fast. Every round is written, so its work does not pile
+    up. Hot nodes are met by partial aggregation and by joins that adaptive execution can split. No edges give no rows.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = materialize(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if new.where("label != old").isEmpty():
-            return labels
+    both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    links = materialize(both(edges))
+    labels = links.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    while not links.isEmpty():
+        up = links.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("p"))
+        above = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        parents = materialize(up.join(above, "p", "left").select("node", F.coalesce("pp", "p").alias("parent")))
+        labels = materialize(labels.join(parents.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("parent", "label").alias("label")))
+        pa, pb = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
+        links = materialize(links.join(pa, "a").join(pb, "b").where("pa != pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+    return labels
 
 
 def star_pairs(members: DataFrame, *ends: str) -> DataFrame:
