@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Results depend on these lists, so they must hold exactly these entries.
@@ -53,6 +53,8 @@ DANGEROUS_PATTERNS = [
 
 #: Most entries of a fetched list by category, cut before sorting and deduplication.
 FETCHED_CAPS = {"path": 500, "ua": 200}
+#: Cap of other categories, and parts over which the rows of a category are dealt.
+OTHER_CAP, PARTS = 500, 64
 
 
 def merge_lists(builtin: DataFrame, cloud: DataFrame, local: DataFrame, excludes: DataFrame, use_builtin: bool = True, use_cloud: bool = True) -> DataFrame:
@@ -73,16 +75,23 @@ def merge_all(layers: dict[str, tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return reduce(DataFrame.unionByName, (merge_lists(*x).withColumn("list", F.lit(n)) for n, x in layers.items()))
 
 
-def by_category(rows: DataFrame, fallback: str = "path") -> DataFrame:
-    """U4: category, items of fetched rows (category, value, ord); a missing category falls back."""
+def by_category(rows: DataFrame, fallback: str = "path", most: int | None = None) -> DataFrame:
+    """U4: category, items of fetched rows (category, value, ord); a missing category falls back.
+
+    `most` leaves the first entries of each category only, found in dealt parts, so that no task collects a whole category.
+    """
     key = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(fallback)).alias("category")
+    rows = rows.select(key, "ord", "value")
+    if most is not None:
+        first = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy("category", *by).orderBy("ord", "value"))).where(F.col("_n") <= most)
+        rows = first(first(rows.withColumn("_part", F.pmod(F.xxhash64("ord", "value"), F.lit(PARTS))), "_part"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"])
-    return rows.groupBy(key).agg(items.alias("items"))
+    return rows.groupBy("category").agg(items.alias("items"))
 
 
 def capped(lists: DataFrame) -> DataFrame:
     """The first entries of each list up to its cap, then distinct and sorted."""
-    cap = reduce(lambda c, kv: c.when(F.col("category") == kv[0], kv[1]), FETCHED_CAPS.items(), F.when(F.lit(False), 0)).otherwise(500)
+    cap = reduce(lambda c, kv: c.when(F.col("category") == kv[0], kv[1]), FETCHED_CAPS.items(), F.when(F.lit(False), 0)).otherwise(OTHER_CAP)
     return lists.select("category", F.array_sort(F.array_distinct(F.slice("items", F.lit(1), cap))).alias("items"))
 
 

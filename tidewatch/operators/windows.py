@@ -70,10 +70,25 @@ def window_counters(events: DataFrame, sizes: Sequence[int] = (10, 30, 60)) -> D
 
 
 def sessions(events: DataFrame, idle: int = 300, key: str = "source_ip") -> DataFrame:
-    """`session`, counted from 0 per address; a gap of `idle` seconds starts a new one."""
-    w = Window.partitionBy(key).orderBy("ts", "seq")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) >= idle, 1).otherwise(0)
-    return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w).cast("long")).drop("_new")
+    """`session`, counted from 0 per address; a gap of `idle` seconds starts a new one.
+
+    Gaps are found per (address, chunk). A small table of one row per (address, chunk) carries the last time and the
+    number of sessions of earlier chunks, so no window holds all events of one address.
+    """
+    rows = events.withColumn("_c", F.floor(F.col("ts") / CHUNK))
+
+    def carried(df: DataFrame, each: Column, over: Column, name: str) -> DataFrame:
+        chunks = df.groupBy(F.col(key).alias("_k"), F.col("_c").alias("_d")).agg(each.alias("_v"))
+        ends = chunks.select("_k", "_d", over.over(Window.partitionBy("_k").orderBy("_d")).alias(name))
+        return df.join(ends, F.col(key).eqNullSafe(F.col("_k")) & F.col("_c").eqNullSafe(F.col("_d")), "left").drop("_k", "_d")
+
+    w = Window.partitionBy(key, "_c").orderBy("ts", "seq")
+    new = F.when(F.col("ts") - F.coalesce(F.lag("ts").over(w), "_last") >= idle, 1).otherwise(0)
+    marked = carried(rows, F.max("ts"), F.lag("_v"), "_last").withColumn("_new", new)
+    counted = carried(marked, F.sum("_new"), F.sum("_v"), "_before")
+    # `_before` holds the own chunk too.
+    own = F.sum("_new").over(Window.partitionBy(key, "_c"))
+    return counted.withColumn("session", (F.col("_before") - own + F.sum("_new").over(w)).cast("long")).drop("_c", "_last", "_before", "_new")
 
 
 def snapshots(events: DataFrame, size: int = 60, every: int = 10, counters: Sequence[str] = COUNTERS) -> DataFrame:

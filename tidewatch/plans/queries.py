@@ -588,7 +588,7 @@ def feature_merge(spark, d):
 def feature_caps(spark, d):
     a = src.access(spark, d)
     rows = a.select(F.col("seq").alias("ord"), F.when(F.col("seq") % 3 == 0, "ua").when(F.col("seq") % 3 == 1, "path").otherwise("").alias("category"), F.concat("path", F.col("seq") % 50).alias("value"))
-    out = features.capped(features.by_category(rows))
+    out = features.capped(features.by_category(rows, most=max(features.OTHER_CAP, *features.FETCHED_CAPS.values())))
     return out.select("category", F.size("items").cast("long").alias("n"), F.array_join(F.slice("items", 1, 5), ",").alias("head"))
 
 
