@@ -116,6 +116,15 @@ def _normalized(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"path": _each(s, clean_path), "traversal": _each(s, climbs)})
 
 
+def _seen(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"text": _each(s, decode), "traversal": _each(s, climbs)})
+
+
+def seen_path(c: Column) -> Column:
+    """F4 and F5 in one call: struct of the decoded text and whether it climbs."""
+    return F.pandas_udf(_seen, "struct<text:string,traversal:boolean>")(c)
+
+
 def normalize_request_path(c: Column) -> Column:
     """struct of the cleaned path and whether it climbs."""
     return F.pandas_udf(_normalized, "struct<path:string,traversal:boolean>")(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
+from ..functions import decoding
 from ..functions import scalars as S
 
 COUNTERS = (
@@ -35,14 +36,13 @@ def decoded_path(path: Column) -> Column:
 def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """The events with the sixteen counters (0 or 1; danger may be more) of W1.
 
+    Danger patterns are looked up in the fully decoded path (F4), climbing is F5.
     Uses columns body_hits, xxe and upload if there are any. XXE counts twice, as a pattern and as itself.
     """
     has = set(events.columns)
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     path, ua, status = F.col("path"), F.col("user_agent"), F.col("status")
-    low = F.lower(decoded_path(path))
-    danger = S.contains_any(low, cfg.patterns)
-    climbs = low.rlike(r"(^|[/\\])\.\.([/\\]|$)") | low.contains("%2e%2e")
+    danger = S.contains_any(F.lower("_seen.text"), cfg.patterns)
     extra = [F.col(c).cast("long") for c in ("body_hits", "xxe") if c in has]
     danger_n = sum(extra, one(danger) + one(S.is_malformed(F.col("method"), path)))
     auth = (F.col("source") == "linux_auth") & S.is_auth_failure(F.col("auth_action")) if "auth_action" in has else F.lit(False)
@@ -54,7 +54,7 @@ def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> Dat
         "c5xx": one(status.between(500, 599)),
         "auth_fail": one(auth),
         "sens": one((status >= 400) & S.hit_sensitive_path(path, cfg.sensitive_paths)),
-        "trav": one(climbs),
+        "trav": one(F.col("_seen.traversal")),
         "danger": danger_n,
         "bot": one(S.is_bot_agent(ua, cfg.known_clients, cfg.bot_agents)),
         "browser": one(S.is_browser_agent(ua, cfg.known_clients, cfg.bot_agents, cfg.browser_agents)),
@@ -64,4 +64,4 @@ def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> Dat
         "head": one(F.upper("method") == "HEAD"),
         "upload": one(F.col("upload")) if "upload" in has else F.lit(0).cast("long"),
     }
-    return events.withColumns(new)
+    return events.withColumn("_seen", decoding.seen_path(path)).withColumns(new).drop("_seen")
