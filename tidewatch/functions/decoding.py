@@ -163,9 +163,9 @@ def _hits(texts: list[str], patterns: Sequence[str]) -> int:
     return sum(any(p in x for x in low) for p in patterns)
 
 
-def scan_text(kind: str, body: str, patterns: Sequence[str], most: int) -> int:
+def scan_text(kind: str, body: str, patterns: Sequence[str], most: int | None) -> int:
     """Hits in the values of a JSON, form or XML body; what does not parse is searched as a whole."""
-    raw = body.encode()[:most].decode("utf-8", "ignore")
+    raw = body if most is None else body.encode()[:most].decode("utf-8", "ignore")
     kind = kind.split(";", 1)[0].strip().lower()
     if not raw or kind not in features.BODY_TYPES:
         return 0
@@ -182,8 +182,8 @@ def scan_text(kind: str, body: str, patterns: Sequence[str], most: int) -> int:
         return _hits([raw], patterns)
 
 
-def body_scan(kind: Column, body: Column, patterns: Sequence[str] = features.DANGEROUS_PATTERNS, most: int = 10_240) -> Column:
-    """struct of body_hits and xxe; bodies of other types are not scanned."""
+def body_scan(kind: Column, body: Column, patterns: Sequence[str] = features.DANGEROUS_PATTERNS, most: int | None = 10_240) -> Column:
+    """struct of body_hits and xxe; bodies of other types are not scanned. Hits are looked for in the first `most` bytes (None: in all)."""
 
     def scan(k: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([scan_text(x or "", y or "", patterns, most) for x, y in zip(k, b)], dtype="int64")

@@ -179,11 +179,11 @@ def decode_path(spark, d):
 
 @query
 def body_scan(spark, d):
-    """Documents as form, JSON and XML bodies."""
+    """Documents as form, JSON and XML bodies, scanned whole."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = F.element_at(F.array(*[F.lit(k) for k in features.BODY_TYPES]), (F.col("doc_id") % 5 + 1).cast("int"))
     body = F.when(F.col("doc_id") % 5 == 0, F.to_json(F.struct("text"))).otherwise(F.col("text"))
-    return docs.select("doc_id", kind.alias("kind"), decoding.body_scan(kind, body).alias("s")).select("doc_id", "kind", "s.*")
+    return docs.select("doc_id", kind.alias("kind"), decoding.body_scan(kind, body, most=None).alias("s")).select("doc_id", "kind", "s.*")
 
 
 @query
