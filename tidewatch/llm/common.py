@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_code
@@ -69,6 +69,27 @@ def same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_th"] == b["_th"])
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """`row` (all columns as one struct, so that their names clash with nothing), doc_id, _th and text (null becomes empty)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text).alias("_th"), text.alias("text"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of `docs` out of `row`, with `text` in place of the text."""
+    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+#: Bytes up to which a table of rows of any width is sent to all executors.
+BROADCAST_BYTES = 32 << 20
+
+
+def sendable(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """Mark a written table for broadcast if its rows, of `row_bytes` each, hold at most BROADCAST_BYTES; larger ones join by shuffle."""
+    total = df.agg(F.sum(row_bytes).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads every input bit over all output bits."""
     h = (h ^ (h >> _S)) * _M1
