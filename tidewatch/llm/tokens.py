@@ -77,17 +77,26 @@ class _Bpe:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
         self.model = self.tok.model
-        self.pre = ChunkTable(lambda p: packed([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self._letters))]), 200_000)
+        self.pre = ChunkTable(self.word, 200_000)
+
+    def word(self, pre: str) -> bytes:
+        """Ids of one pre-token."""
+        return packed([t.id for t in self.model.tokenize(pre.encode().decode("latin-1").translate(self._letters))])
 
     def whole(self, text: str) -> bytes:
         return packed(self.tok.encode(text, add_special_tokens=False).ids)
 
 
+#: Marks that often end a word and are pre-tokens of their own there.
+_MARKS = (",", ".", ";", ":", "!", "?")
+
+
 class SpaceLedEncoder(_Bpe):
     """Byte-level BPE whose pre-tokens may begin with one space: a boundary lies before each space that precedes a non-space."""
 
     _cut = re.compile(r" (?=\S)")
-    _odd = re.compile(r" (?=\s|$)")
+    #: White space that is not one space or line break between two other characters.
+    _odd = re.compile(r"[ \n](?=\s|$)|\s\n")
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -96,18 +105,35 @@ class SpaceLedEncoder(_Bpe):
         super().__init__(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.table = ChunkTable(self._chunk)  # without the space that leads a chunk
-        self.heads = ChunkTable(self._piece, 50_000)
+        self.heads = ChunkTable(self._head, 100_000)
+        #: Whether the pattern leaves plain words whole, cuts a mark off their end and a line break out, so that most chunks need no pattern.
+        self.plain = self.split.findall(" aB ZéX, c.\nd\nE") == [" aB", " ZéX", ",", " c", ".", "\n", "d", "\n", "E"]
+        self.line = self._piece("\n")
 
     def _piece(self, text: str) -> bytes:
         return self.pre.ids(self.split.findall(text)) if self._common.fullmatch(text) else self.whole(text)
 
+    def _head(self, text: str) -> bytes:
+        return self.word(text) if self.plain and text.isalpha() and self._common.fullmatch(text) else self._piece(text)
+
     def _chunk(self, text: str) -> bytes:
+        if self.plain and self._common.fullmatch(text):
+            if text.isalpha():
+                return self.word(" " + text)
+            if text[-1:] in _MARKS and text[:-1].isalpha():
+                return self.table[text[:-1]] + self.pre[text[-1]]
         return self._piece(" " + text)
 
-    def __call__(self, text: str) -> bytes:
-        parts = self._cut.split(text) if self._odd.search(text) else text.split(" ")
+    def _line(self, text: str) -> bytes:
+        parts = text.split(" ")
         return self.heads[parts[0]] + self.table.ids(parts[1:])
 
+    def __call__(self, text: str) -> bytes:
+        if not self.plain or self._odd.search(text):
+            parts = self._cut.split(text)
+            return self.heads[parts[0]] + self.table.ids(parts[1:])
+        return self.line.join(map(self._line, text.split("\n")))
+
 
 class WhitespaceFreeEncoder(_Bpe):
     """BPE with word ends that drops white space and lowers case: any space or line break is a boundary."""
@@ -122,6 +148,11 @@ class WhitespaceFreeEncoder(_Bpe):
     def _chunk(self, text: str) -> bytes:
         if not text:
             return b""
+        if text.isascii():
+            if text.isalpha():
+                return self.word(text.lower())
+            if text[-1] in _MARKS and text[:-1].isalpha():
+                return self.table[text[:-1]] + self.pre[text[-1]]
         if not self._common.fullmatch(text):
             return self.whole(text)
         return self.pre.ids(self.split.findall(text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text)))
