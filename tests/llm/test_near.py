@@ -77,3 +77,13 @@ def test_nulls_repeated_rows_and_empty_table(spark):
     assert sorted(r["node"] for r in near.keep_one(docs).collect())[-2:] == [4, 5] and near.keep_one(docs).count() == 3
     none = docs.where("false")
     assert near.classes(none).count() == 0 and near.keep_one(none).columns == docs.columns
+
+
+def test_names_of_scratch_columns_are_free(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["_n", "_node", "node", "row", "_d", "_th", "label"]
+    rows = [(1, text, *range(7)), (2, text + " more", *range(7, 14)), (3, None, *range(14, 21)), (4, "other words", *range(21, 28))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = sorted(tuple(r) for r in near.keep_one(docs).collect())
+    assert got == [rows[0], rows[2], rows[3]]
+    assert near.keep_one(docs).columns == docs.columns

@@ -59,10 +59,9 @@ def test_window_200_long_text_and_repeated_rows(spark):
 
 def test_remove_keeps_columns_and_characters(spark):
     t = "é" * 200
-    docs = spark.createDataFrame([(1, "x" + t, 7), (2, t + "yz", 8), (3, None, 9)], "doc_id long, text string, _cuts int")
-    docs = docs.withColumnRenamed("_cuts", "extra")
-    got = {r["doc_id"]: (r["text"], r["extra"]) for r in suffix.remove(docs).collect()}
-    assert got == {1: ("x", 7), 2: ("yz", 8), 3: (None, 9)}
+    docs = spark.createDataFrame([(1, "x" + t, 7, 1, 2, 3), (2, t + "yz", 8, 4, 5, 6), (3, None, 9, 7, 8, 9)], "doc_id long, text string, _cuts int, _th int, cuts int, row int")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix.remove(docs).collect()}
+    assert got == {1: ("x", 7, 1, 2, 3), 2: ("yz", 8, 4, 5, 6), 3: (None, 9, 7, 8, 9)}
     assert suffix.remove(docs).columns == docs.columns
 
 

@@ -35,9 +35,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset (tests), below a temporary folder."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset, in local mode (tests) below a temporary folder, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewatch-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
@@ -134,32 +136,51 @@ def text_bytes(col: pa.Array, sep: int | None = None) -> tuple[np.ndarray, np.nd
 class Rolling:
     """Hashes of arbitrary spans of a byte array in constant time each.
 
-    h(s, e) is the sum of table[byte] * base**(position - s) modulo 2**64, then mixed with the span's length.
+    A span from s to e has the sum of table[byte] * base**(position - s), modulo the prime 2**31 - 1, for two bases and
+    tables; both sums together are mixed with the span's length. Two given spans of n bytes that differ agree with a
+    probability of at most (n / 2**31)**2 over the bases, whatever their bytes.
     """
 
-    _base = np.uint64(0x9E3779B97F4A7C15)
-    _table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    _power = np.ones(1, np.uint64)
-    _inverse = np.ones(1, np.uint64)
+    _prime = np.uint64((1 << 31) - 1)
+    _bases = (0x3C6EF372, 0x1F83D9AB)
+    _tables = tuple((mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(c)) >> np.uint64(34)) + np.uint64(1) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+    _powers: list[np.ndarray] = []
+    _inverses: list[np.ndarray] = []
 
     @classmethod
-    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._power) < n:
-            inverse = np.uint64(pow(int(cls._base), -1, 1 << 64))
-            for name, step in (("_power", cls._base), ("_inverse", inverse)):
-                x = np.full(n, step, np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.multiply.accumulate(x))
-        return cls._power, cls._inverse
+    def _reduced(cls, x: np.ndarray) -> np.ndarray:
+        """Congruent, below 2**33 for any x."""
+        return (x & cls._prime) + (x >> np.uint64(31))
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The first n powers of each base and of its inverse, at least."""
+        if not cls._powers or len(cls._powers[0]) < n:
+            p = int(cls._prime)
+
+            def run(base: int) -> np.ndarray:
+                out = np.ones(1, np.uint64)
+                while len(out) < n:
+                    out = np.concatenate([out, out * np.uint64(pow(base, len(out), p)) % cls._prime])
+                return out[:n]
+
+            cls._powers, cls._inverses = [run(b) for b in cls._bases], [run(pow(b, -1, p)) for b in cls._bases]
+        return cls._powers, cls._inverses
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = self.powers(max(len(data) + 1, SLICE_BYTES + 4096))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self._table[data] * power[: len(data)], out=self.sums[1:])
+        powers, self.inverses = self.powers(max(len(data) + 1, SLICE_BYTES + 4096))
+        self.sums = []
+        for table, power in zip(self._tables, powers):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self._reduced(table[data] * power[: len(data)]), out=sums[1:])
+            self.sums.append(sums)
 
     def spans(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        h = (self.sums[e] - self.sums[s]) * self.inverse[s]
-        return mix(h ^ ((e - s).astype(np.uint64) * _M2))
+        lanes = []
+        for sums, inverse in zip(self.sums, self.inverses):
+            x = self._reduced(self._reduced(self._reduced(self._reduced(sums[e] - sums[s])) * inverse[s]))
+            lanes.append(np.where(x >= self._prime, x - self._prime, x))
+        return mix((lanes[0] | lanes[1] << np.uint64(31)) ^ ((e - s).astype(np.uint64) * _M2))
 
 
 WHITE = np.zeros(256, bool)

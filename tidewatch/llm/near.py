@@ -24,7 +24,7 @@ Defined results: null text counts as empty; words are runs of non-white-space
 bytes, ASCII case folded; a text of one to four words is one shingle; texts without
 words equal only texts of the same bytes; rows that agree in doc_id and text are
 copies of each other, of which `keep_one` keeps one; an empty table gives an empty
-result.
+result; `keep_one` carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, materialize, mix, slices, text_bytes, words
+from .common import LOWER, Rolling, boxed, materialize, mix, slices, text_bytes, unboxed, words
 from .graph import components, open_members, open_pairs, small, star_pairs, with_hub
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -268,8 +268,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pick = F.min(F.struct("doc_id", "node"))
     grouped = known.where("label is not null").groupBy("label").agg(pick.alias("k"))
     alone = known.where("label is null").groupBy("node").agg(pick.alias("k"))
-    keep = grouped.select("k.*").unionByName(alone.select("k.*")).select(F.col("doc_id").alias("_d"), F.col("node").alias("_n"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumn("_node", F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")))
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["_d"]) & (own["_node"] == keep["_n"]))
-    return kept.dropDuplicates(["_d", "_n"]).select(*docs.columns)
+    keep = grouped.select("k.*").unionByName(alone.select("k.*"))
+    own = boxed(docs).withColumn("node", F.struct("_th", F.xxhash64(F.lit(1), "text")))
+    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["doc_id"]) & (own["node"] == keep["node"])).select("row", own["doc_id"], own["node"])
+    return unboxed(kept.dropDuplicates(["doc_id", "node"]), docs, F.col("row.text"))

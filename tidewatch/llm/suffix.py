@@ -16,7 +16,7 @@ Spark counts by digest with partial aggregation.
 
 Defined results: null text counts as empty; texts shorter than `window` lose
 nothing; copies of a row (same doc_id and text) are separate documents; an empty
-table gives an empty result.
+table gives an empty result; `remove` carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,17 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, keyed, materialize, mix, same_doc, slices, text_bytes
+from .common import Rolling, boxed, keyed, materialize, mix, same_doc, slices, text_bytes, unboxed
+from .graph import small
 
 WORD = 8
 GROUP = 20_000
 #: Windows of a long text that one step handles.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 22
+#: `place` holds distances in a run in 12 bits.
+MOST_WINDOW = 4095
 _POS = np.uint64((1 << 28) - 1)
 _HIGH = np.uint64(~((1 << 28) - 1) & 0xFFFFFFFFFFFFFFFF)
 
 
 def gram_of(window: int) -> int:
+    if window > MOST_WINDOW:
+        raise ValueError(f"a window has at most {MOST_WINDOW} bytes")
     return max(4, window * 6 // 25)
 
 
@@ -310,20 +315,24 @@ def _count_windows(contexts: DataFrame, window: int) -> DataFrame:
 
 
 def repeated(texts: DataFrame, window: int = 200, group: int = GROUP) -> DataFrame:
-    """doc_id, _th and `cuts`: byte ranges [a, b) of keyed documents that windows occurring elsewhere cover."""
-    twice = anchors(texts, window, False).groupBy("kh").agg(F.count("*").alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where("n > 1").select("kh", (F.col("c0") == F.col("c1")).alias("same"))
+    """doc_id, _th and `cuts`: byte ranges [a, b) of keyed documents that windows occurring elsewhere cover.
+
+    Hot anchors are counted by partial aggregation; the table of repeated ones is written, so that adaptive execution can
+    split their share of the join. Runs of one anchor hash (62 bits) are taken as equal if their own hashes are.
+    """
+    counted = anchors(texts, window, False).groupBy("kh").agg(F.count("*").alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1"))
+    twice = materialize(counted.where("n > 1").select("kh", (F.col("c0") == F.col("c1")).alias("same")))
     runs = materialize(anchors(texts, window, True).join(twice, "kh"))
     other = runs.where("not same")
     first = F.struct("doc_id", "_th", "place")
     distinct = materialize(other.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(first).alias("f")).select("kh", "ch", "n", "f.*"))
     wanted = distinct.groupBy("doc_id", "_th").agg(F.collect_list(F.struct("kh", "ch", "n", "place")).alias("runs"))
-    contexts = _contexts(texts, wanted, window)
-    large = distinct.groupBy("kh").agg(F.count("*").alias("many")).where(F.col("many") > group).select("kh")
-    if large.isEmpty():
-        found = _sort_groups(contexts, window)
-    else:
-        contexts = materialize(contexts)
-        found = _sort_groups(contexts.join(large, "kh", "left_anti"), window).unionByName(_count_windows(contexts.join(large, "kh", "left_semi"), window))
+    contexts = materialize(_contexts(texts, wanted, window))
+    large = small(materialize(distinct.groupBy("kh").agg(F.count("*").alias("many")).where(F.col("many") > group).select("kh")))
+    found = _sort_groups(contexts.join(large, "kh", "left_anti"), window)
+    if not large.isEmpty():
+        found = found.unionByName(_count_windows(contexts.join(large, "kh", "left_semi"), window))
+    found = materialize(found)
     lo = F.shiftright("place", 24)
     hi = lo + F.col("place").bitwiseAND(4095)
     whole = runs.where("same").select("doc_id", "_th", F.struct(lo.alias("a"), (hi + window).alias("b")).alias("cut"))
@@ -378,21 +387,19 @@ def on_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def remove(docs: DataFrame, window: int = 200) -> DataFrame:
     """All columns of `docs`, with repeated substrings cut out of `text` at whole characters; null texts stay null."""
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = docs.withColumn("_th", th)
-    cuts = repeated(keyed(docs), window).select(F.col("doc_id").alias("_d"), F.col("_th").alias("_t"), F.col("cuts").alias("_cuts"))
-    both = own.join(cuts, own["doc_id"].eqNullSafe(cuts["_d"]) & (own["_th"] == cuts["_t"]), "left").drop("_d", "_t", "_th")
-    names = docs.columns
+    own, cuts = boxed(docs), repeated(keyed(docs), window)
+    both = own.join(cuts, own["doc_id"].eqNullSafe(cuts["doc_id"]) & (own["_th"] == cuts["_th"]), "left").select("row", "text", "cuts")
+    schema = both.drop("cuts").schema
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 texts = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("_cuts").to_pylist()):
+                for text, found in zip(part.column("text").to_pylist(), part.column("cuts").to_pylist()):
                     if found:
                         raw = text.encode("utf-8", "surrogatepass")
                         text = _kept(raw, on_characters(raw, _spans(found))).decode("utf-8", "surrogatepass")
                     texts.append(text)
-                yield pa.record_batch([pa.array(texts, part.column("text").type) if n == "text" else part.column(n) for n in names], names=names)
+                yield pa.record_batch([part.column("row"), pa.array(texts, part.column("text").type)], names=["row", "text"])
 
-    return both.mapInArrow(run, docs.schema)
+    return unboxed(both.mapInArrow(run, schema), docs, F.when(F.col("row.text").isNotNull(), F.col("text")))
