@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import share_code
 
 #: Bytes of text that one step inside a task handles at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
