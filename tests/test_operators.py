@@ -149,6 +149,25 @@ def test_routes(spark):
     assert got == ["whitelisted", "whitelisted", "loopback", "honeypot", "skipped", "scored"]
 
 
+def test_routes_on_clean_paths_and_both_addresses(spark):
+    cfg = config.DetectorConfig(whitelist=("2001:db8::/32", "fd00::1"), honeypot_paths=("/trap",))
+    rows = [
+        (1, "2001:db8::5", "/", 200, "", "8.8.8.8"), (1, "fd00::1", "/", 200, "", ""), (1, "2001:db9::5", "/", 200, "", None),
+        (1, "8.8.8.8", "/", 200, "", "127.0.0.9"), (1, "8.8.8.8", "/%74rap", 200, "", ""), (1, "8.8.8.8", "/a/..%2ftrap", 200, "", ""),
+        (1, "8.8.8.8", "/.well-known/..%2f..%2fadmin", 200, "", ""), (1, "8.8.8.8", "/.well-known/x?y=1", 200, "", ""), (1, "8.8.8.8", "", 200, "", ""),
+    ]
+    both = spark.createDataFrame([(i, r[1], r[2], r[5]) for i, r in enumerate(rows)], "seq long, source_ip string, path string, edge_ip string")
+    got = [r[0] for r in both.orderBy("seq").select(route(cfg, F.col("edge_ip"))).collect()]
+    assert got == ["whitelisted", "whitelisted", "scored", "loopback", "honeypot", "honeypot", "scored", "skipped", "scored"]
+
+
+def test_networks_of_both_kinds_cover(spark):
+    ips = spark.createDataFrame([(x,) for x in ("2001:db8:1::7", "2001:db9::7", "10.1.2.3", "11.1.2.3", "::1", "x:y", "")], "ip string")
+    nets = spark.createDataFrame([(x,) for x in ("2001:db8::/32", "10.0.0.0/8", "::1", "bad/99", "fe80::/10")], "net string")
+    assert sorted(r["ip"] for r in decision.cover(ips, nets).collect()) == ["10.1.2.3", "2001:db8:1::7", "::1"]
+    assert decision.cover(ips, nets.where("net = '10.0.0.0/8'")).count() == 1
+
+
 # Confirmation
 
 

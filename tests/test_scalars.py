@@ -39,7 +39,7 @@ def test_uploads_methods_and_addresses(spark):
     assert values(spark, S.uptime(F.col("x").cast("long")), "5", "65", "3700", "90061") == ["5s", "1m 5s", "1h 1m 40s", "1d 1h 1m 1s"]
 
 
-@pytest.mark.parametrize(("text", "want"), [("%27%20OR%201%3D1--", "' OR 1=1--"), ("&#60;script&#62;", "<script>"), ("%252e%252e%252f", "../"), ("a%zz+b", "a%zz+b"), ("\\u003cscript\\x3e", "<script>"), ("a+b", "a b"), ("&lt;b&gt;", "<b>")])
+@pytest.mark.parametrize(("text", "want"), [("%27%20OR%201%3D1--", "' OR 1=1--"), ("&#60;script&#62;", "<script>"), ("%252e%252e%252f", "../"), ("a%zz+b", "a%zz+b"), ("\\u003cscript\\x3e", "<script>"), ("a+b", "a b"), ("&lt;b&gt;", "<b>"), ("&slash;&backslash;", "/\\"), ("&sol;&bsol;", "&sol;&bsol;"), ("\\U003cq", "<q"), ("\\xa0\\xad\\xa1", "\\xa0\\xad\u00a1")])
 def test_decode(text, want):
     assert decoding.decode(text) == want
 
@@ -59,6 +59,19 @@ def test_bodies():
     assert decoding.scan_text("application/json", "not json <script>", p, 10_240) == 1
     assert decoding.scan_text("application/x-www-form-urlencoded", "a=union+select&b=%3Cscript", p, 10_240) == 2
     assert decoding.scan_text("text/plain", "<script", p, 10_240) == 0
+    assert decoding.scan_text("application/json", '{"a": "<script", "b": ["<SCRIPT"]}', p, None) == 2
+    assert decoding.scan_text("application/json", '{"a": NaN, "<script": 1}', p, None) == 1
+    assert decoding.scan_text("multipart/form-data; boundary=x", "a=<script&b=%3cscript", p, None) == 2
+    assert decoding.scan_text("multipart/form-data", "--x; name=a <script union select", p, None) == 2
+    assert decoding.scan_text("application/x-www-form-urlencoded", "a=%zz%3cscript&b=%3cscript", p, None) == 1
+    assert decoding.scan_text("text/xml", "%zz%3cscript", p, None) == 1
+    assert decoding.scan_text("text/xml", "<!DOCTYPE x [<!ENTITY y '<script'>]>", p, None) == 2
+
+
+def test_body_columns(spark):
+    rows = [("text/xml", "<!DOCTYPE a [<!ENTITY b>]>"), ("application/soap+xml", "<!DOCTYPE a [<!ENTITY b>]>"), ("text/xml", " " * 10_240 + "<!doctype entity"), (None, None), ("application/json", "<!doctype entity <script")]
+    s = spark.createDataFrame(rows, "kind string, body string").select(decoding.body_scan(F.col("kind"), F.col("body"), ["<script"]).alias("s")).select("s.*")
+    assert [tuple(r) for r in s.collect()] == [(1, True), (0, False), (0, False), (0, False), (1, False)]
 
 
 LINES = {

@@ -7,8 +7,8 @@ from tidewatch.plans.queries import QUERIES
 
 
 def test_late_patterns_count(spark, tmp_path):
-    late = "word " * 4000 + "<script"
-    # doc_id % 5 chooses the type of the body; 0 is JSON.
+    late = "a=" + "word " * 4000 + "<script"
+    # doc_id % 5 chooses the type of the body; 0 is JSON. A form is searched in its values only.
     spark.createDataFrame([(i, late) for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["body_hits"] for r in QUERIES["body_scan"](spark, str(tmp_path)).collect()}
     assert got == {i: 1 for i in range(5)}

@@ -10,7 +10,7 @@ import json
 import posixpath
 import re
 from collections.abc import Callable, Sequence
-from urllib.parse import parse_qsl, unquote_to_bytes
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,9 +20,9 @@ from .. import features
 from . import scalars as S
 
 _BAD_ESCAPE = re.compile("%(?![0-9a-fA-F]{2})")
-_UNICODE, _HEX, _ENTITY = re.compile(r"\\u([0-9a-fA-F]{4})"), re.compile(r"\\x([0-9a-fA-F]{2})"), re.compile(r"&#(x[0-9a-fA-F]+|\d+);")
+_UNICODE, _HEX, _ENTITY = re.compile(r"\\[uU]([0-9a-fA-F]{4})"), re.compile(r"\\x([0-9a-fA-F]{2})"), re.compile(r"&#(x[0-9a-fA-F]+|[0-9]+);|&([a-zA-Z]+);")
 # Named entities that are decoded.
-NAMED = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&sol;": "/", "&bsol;": "\\"}
+NAMED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'", "nbsp": " ", "slash": "/", "backslash": "\\"}
 _CLIMB = re.compile(r"(^|[/\\])\.\.([/\\]|$)")
 
 
@@ -33,24 +33,27 @@ def _url(s: str, plus: bool) -> str:
     return unquote_to_bytes(s.replace("+", " ") if plus else s).decode("utf-8", "replace")
 
 
+def _char(n: int, else_: str) -> str:
+    return chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else else_
+
+
 def _entity(m: re.Match) -> str:
-    n = int(m[1][1:], 16) if m[1][0] == "x" else int(m[1])
-    return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else m[0]
+    if m[2]:
+        return NAMED.get(m[2], m[0])
+    return _char(int(m[1][1:], 16) if m[1][0] == "x" else int(m[1]), m[0])
 
 
 def _hex(m: re.Match) -> str:
+    """Printable Latin-1 only."""
     n = int(m[1], 16)
-    return chr(n) if 0x20 <= n < 0x7F or n >= 0xA0 else m[0]
+    return chr(n) if 0x20 <= n < 0x7F or n > 0xA0 and n != 0xAD else m[0]
 
 
 def decode_once(s: str) -> str:
-    """F3."""
+    """percent twice (the second time with + as a space), then \\u or \\U, \\x and entities, each in one pass."""
     s = _url(_url(s, False), True)
-    s = _HEX.sub(_hex, _UNICODE.sub(lambda m: chr(int(m[1], 16)) if not m[1].lower().startswith(("d8", "d9", "da", "db", "dc", "dd", "de", "df")) else m[0], s))
-    s = _ENTITY.sub(_entity, s)
-    for name, char in NAMED.items():
-        s = s.replace(name, char)
-    return s
+    s = _UNICODE.sub(lambda m: _char(int(m[1], 16), m[0]), s)
+    return _ENTITY.sub(_entity, _HEX.sub(_hex, s))
 
 
 def decode(s: str, rounds: int = 3) -> str:
@@ -158,34 +161,85 @@ def _strings(value: object) -> list[str]:
 
 
 def _hits(texts: list[str], patterns: Sequence[str]) -> int:
-    """patterns that some text holds, as it is or after one percent decoding."""
-    low = [x.lower() for t in texts for x in {t, _url(t, False)}]
-    return sum(any(p in x for x in low) for p in patterns)
+    """for each text, the patterns that it holds after its good percent escapes are decoded."""
+    low = [(unquote_to_bytes(t).decode("utf-8", "replace") if "%" in t else t).lower() for t in texts]
+    return sum(p.lower() in t for t in low for p in patterns if p)
+
+
+def _not_a_number(name: str) -> None:
+    raise ValueError(name)
+
+
+def _form_values(body: str) -> list[str] | None:
+    """The decoded values of a form, or None if it is no good one: a bad escape or a semicolon anywhere."""
+    out = []
+    for pair in filter(None, body.split("&")):
+        if ";" in pair or _BAD_ESCAPE.search(pair):
+            return None
+        out.append(_url(pair.partition("=")[2], True))
+    return out
+
+
+def _base_type(kind: str) -> str:
+    return kind.split(";", 1)[0].strip().lower()
 
 
 def scan_text(kind: str, body: str, patterns: Sequence[str], most: int | None) -> int:
-    """Hits in the values of a JSON, form or XML body; what does not parse is searched as a whole."""
-    raw = body if most is None else body.encode()[:most].decode("utf-8", "ignore")
-    kind = kind.split(";", 1)[0].strip().lower()
-    if not raw or kind not in features.BODY_TYPES:
+    """Hits added up over the string values of JSON or the values of a form; other bodies, multipart ones that
+    do not parse as a form among them, and what does not parse are searched as a whole. An external entity in XML is a hit too.
+    """
+    kind = _base_type(kind)
+    if not body or kind not in features.BODY_TYPES:
         return 0
+    raw, values = cut(body, most), None
     if "json" in kind:
         try:
-            return _hits(_strings(json.loads(raw)), patterns)
-        except ValueError:
-            return _hits([raw], patterns)
-    if "xml" in kind or "multipart" in kind:
-        return _hits([raw], patterns)
+            values = _strings(json.loads(raw, parse_constant=_not_a_number))
+        except (ValueError, RecursionError):
+            values = None
+    elif "form" in kind:
+        values = _form_values(raw)
+    return _hits([raw] if values is None else values, patterns) + holds_xxe(kind, raw)
+
+
+def cut(body: str, most: int | None) -> str:
+    """The first `most` bytes of a body (None: all)."""
+    return body if most is None else body.encode("utf-8", "surrogatepass")[:most].decode("utf-8", "ignore")
+
+
+def holds_xxe(kind: str, raw: str) -> bool:
+    """F20."""
+    low = raw.lower()
+    return "xml" in kind and "<!doctype" in low and "entity" in low
+
+
+def body_scan(kind: Column, body: Column, patterns: Sequence[str] = features.DANGEROUS_PATTERNS, most: int | None = 10_240) -> Column:
+    """struct of body_hits and xxe; bodies of other types are not scanned. Both are looked for in the first `most` bytes (None: in all)."""
+
+    def scan(k: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [(x or "", y or "") for x, y in zip(k, b)]
+        return pd.DataFrame({
+            "body_hits": [scan_text(x, y, patterns, most) for x, y in rows],
+            "xxe": [_base_type(x) in features.BODY_TYPES and holds_xxe(_base_type(x), cut(y, most)) for x, y in rows],
+        })
+
+    return F.pandas_udf(scan, "struct<body_hits:bigint,xxe:boolean>")(kind, body)
+
+
+def _bits(x: str) -> str | None:
     try:
-        return _hits([v for _, v in parse_qsl(raw, keep_blank_values=True, strict_parsing=True)], patterns)
+        a = ipaddress.ip_address(x)
     except ValueError:
-        return _hits([raw], patterns)
+        return None
+    return format(int(a), "0128b") if a.version == 6 else None
 
 
-def body_scan(kind: Column, body: Column, patterns: Sequence[str] = features.DANGEROUS_PATTERNS, most: int | None = 10_240) -> Column:
-    """struct of body_hits and xxe; bodies of other types are not scanned. Hits are looked for in the first `most` bytes (None: in all)."""
+def ipv6_bits(ip: Column) -> Column:
+    """The 128 bits of an IPv6 address as text, null for any other text."""
+    return _mapped(_bits, "string")(ip)
 
-    def scan(k: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([scan_text(x or "", y or "", patterns, most) for x, y in zip(k, b)], dtype="int64")
 
-    return F.struct(F.pandas_udf(scan, "long")(kind, body).alias("body_hits"), (F.lower(kind).contains("xml") & S.has_xxe(body)).alias("xxe"))
+def routed_path(path: Column) -> Column:
+    """F6 for routing: only paths that decoding or cleaning can change go to Python."""
+    odd = path.rlike(r"[%+\\&]|//|/\.|^\.") | ~path.startswith("/")
+    return F.when(odd, normalize_request_path(F.when(odd, path))["path"]).otherwise(F.substring_index(path, "?", 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import decoding
 from ..functions import scalars as S
 
 CLOUD_TTL, LOCAL_TTL = 7200, 3600
@@ -63,10 +64,10 @@ def valid_address(ip: Column) -> Column:
 
 
 def cover(ips: DataFrame, nets: DataFrame, key: str = "ip") -> DataFrame:
-    """Rows of `ips` that one of `nets` (column net: address or IPv4 network) covers.
+    """Rows of `ips` that one of `nets` (column net: an address, or an IPv4 or IPv6 network) covers.
 
     Networks become an equal join on their prefix: an address has one prefix for each prefix length
-    that the networks use, at most 33, so no range is compared with every address.
+    that the networks use, at most 33 and 129, so no range is compared with every address.
     """
     bits = F.when(F.col("net").contains("/"), F.substring_index("net", "/", -1).cast("int")).otherwise(32)
     n = nets.select(S.ip_number(F.substring_index("net", "/", 1)).alias("first"), bits.alias("bits")).where("first is not null")
@@ -77,6 +78,11 @@ def cover(ips: DataFrame, nets: DataFrame, key: str = "ip") -> DataFrame:
     each = num.where("_n is not null").join(F.broadcast(lengths), F.lit(True)).withColumn("_b", F.explode("all_bits")).drop("all_bits")
     each = each.withColumn("_p", F.floor(F.col("_n") / F.pow(F.lit(2.0), 32 - F.col("_b"))).cast("long"))
     hit = each.join(v4, (F.col("_b") == F.col("bits")) & (F.col("_p") == F.col("prefix")), "left_semi").select(key)
+    v6 = nets.where(F.col("net").contains(":") & F.col("net").contains("/")).select(decoding.ipv6_bits(F.substring_index("net", "/", 1)).alias("all"), bits.alias("bits"))
+    v6 = v6.where("all is not null and bits <= 128").select("bits", F.expr("left(all, bits)").alias("prefix")).distinct()
+    wide = ips.where(F.col(key).contains(":")).select(key, decoding.ipv6_bits(F.col(key)).alias("_all")).where("_all is not null")
+    wide = wide.join(F.broadcast(v6.agg(F.collect_set("bits").alias("all_bits"))), F.lit(True)).withColumn("_b", F.explode("all_bits")).withColumn("_p", F.expr("left(_all, _b)"))
+    hit = hit.unionByName(wide.join(v6, (F.col("_b") == F.col("bits")) & (F.col("_p") == F.col("prefix")), "left_semi").select(key))
     return ips.join(hit.unionByName(ips.join(exact, key, "left_semi").select(key)).distinct(), key, "left_semi")
 
 

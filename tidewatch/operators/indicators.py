@@ -14,25 +14,26 @@ COUNTERS = (
 )
 
 
-def route(cfg: DetectorConfig = DetectorConfig()) -> Column:
-    """G1-G4 in the reference order: whitelisted, disabled, loopback, honeypot, skipped, scored."""
-    ip, path = F.col("source_ip"), F.col("path")
-    white = S.any_of([S.in_cidr(ip, w) if "/" in w and ":" not in w else ip == w for w in cfg.whitelist])
+def route(cfg: DetectorConfig = DetectorConfig(), edge: Column | None = None) -> Column:
+    """G1-G4 in the reference order: whitelisted, disabled, loopback (by the client's or the edge's address), honeypot, skipped, scored.
+
+    Paths are matched as F6 leaves them, so that encoding and parent steps neither hide a trap nor reach an open path.
+    """
+    ip, path = F.col("source_ip"), decoding.routed_path(F.col("path"))
+    v6 = [w for w in cfg.whitelist if "/" in w and ":" in w]
+    white = S.any_of([S.in_cidr(ip, w) if "/" in w else ip == w for w in cfg.whitelist if w not in v6])
+    white = white | decoding.in_networks(v6)(ip) if v6 else white
+    local = S.is_loopback(ip) if edge is None else S.is_loopback(ip) | F.coalesce(S.is_loopback(edge), F.lit(False))
     return (
         F.when(white, "whitelisted")
         .when(F.lit(not cfg.enabled), "disabled")
-        .when(S.is_loopback(ip), "loopback")
+        .when(local, "loopback")
         .when(S.path_list_match(path, cfg.honeypot_paths), "honeypot")
         .when(S.path_list_match(path, cfg.skip_paths), "skipped")
         .otherwise("scored")
     )
 
 
-def decoded_path(path: Column) -> Column:
-    """One URL decoding of the path; text that does not decode stays. Deeper decoding: functions.decoding."""
-    return F.coalesce(F.try_url_decode(path), path)
-
-
 def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """The events with the sixteen counters (0 or 1; danger may be more) of W1.
 

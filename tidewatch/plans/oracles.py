@@ -169,7 +169,7 @@ ORACLES = {
     "unblock": f"""with {ACCESS}, k as (select distinct source_ip as ip from access where status = 500), a as (select distinct source_ip as ip from access where source = 'tomcat_access')
       select ip, case when ip in (select ip from k) then 'unblocked' else 'not blocked' end as outcome from a union all select ip, 'kept' from k where ip not in (select ip from a)""",
     "set_state": f"with {ACCESS}, {CHANGES}, l as (select set, ip, max_by(op, ord) as op from ch group by all) select set, ip, cast(3600 as int) as timeout from l where op = 'add'",
-    "cloud_apply": f"""with {ACCESS}, {CHANGES}, f as (select ch.* from ch join access on ord = seq where seq % 7 < 3 and status <> 401), l as (select set, ip, max_by(op, ord) as op from f group by all), g as (select ip from l where set = 'white' and op = 'add')
+    "cloud_apply": f"""with {ACCESS}, {CHANGES}, l as (select set, ip, max_by(op, ord) as op from ch group by all), g as (select ip from l where set = 'white' and op = 'add')
       select set, ip, op from l where set = 'white' union all select 'black', coalesce(b.ip, g.ip), case when g.ip is not null then 'del' when {IN_NETS.format('b.ip')} and op = 'add' then 'filtered' else op end from (select * from l where set = 'black') b full join g on b.ip = g.ip""",
     "whitelist_sync": f"""with {ACCESS}, {NETS} select net, 'add' as op from nets union all select distinct source_ip, 'del' from access where source = 'apache_access' and source_ip not in (select net from nets)
       union all select distinct source_ip, 'unblock' from access where {IN_NETS.format('source_ip')}""",
