@@ -12,11 +12,12 @@ import os
 import re
 from array import array
 from collections.abc import Callable
+from operator import itemgetter
 
 import numpy as np
 
 #: Chunks in each of a table's two generations; bounds memory, not results.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 500_000
 
 
 class ChunkTable(dict):
@@ -38,7 +39,7 @@ class ChunkTable(dict):
 
     def ids(self, chunks: list[str]) -> bytes:
         """The ids of consecutive chunks, joined by position."""
-        return b"".join(map(self.__getitem__, chunks))
+        return b"".join(itemgetter(*chunks)(self)) if len(chunks) > 1 else self[chunks[0]] if chunks else b""
 
 
 def packed(ids: list[int]) -> bytes:
@@ -97,6 +98,8 @@ class SpaceLedEncoder(_Bpe):
     _cut = re.compile(r" (?=\S)")
     #: White space that is not one space or line break between two other characters.
     _odd = re.compile(r"[ \n](?=\s|$)|\s\n")
+    #: What ASCII texts with such white space hold, or one of the rarer kinds; faster to look for than the pattern.
+    _signs = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -129,7 +132,8 @@ class SpaceLedEncoder(_Bpe):
         return self.heads[parts[0]] + self.table.ids(parts[1:])
 
     def __call__(self, text: str) -> bytes:
-        if not self.plain or self._odd.search(text):
+        odd = text.endswith((" ", "\n")) or any(x in text for x in self._signs) if text.isascii() else self._odd.search(text)
+        if odd or not self.plain:
             parts = self._cut.split(text)
             return self.heads[parts[0]] + self.table.ids(parts[1:])
         return self.line.join(map(self._line, text.split("\n")))
