@@ -1,13 +1,13 @@
-"""Media columns: payloads in content-defined chunks.
+"""Media columns: 8-bit mono WAV media in content-defined chunks.
 
-A payload is cut where a rolling gear hash of the last 32 bytes has its top bits
+A record's media, its header included, is cut where a rolling gear hash of the last 32 bytes has its top bits
 zero, so an insertion moves only the cuts near it. Chunk digests are counted by
 Spark; a chunk that only one record has lies inline in that record's row, one that
 several have is stored once in a shared table, and each record keeps the ordered
 list of its chunks. Reading joins shared chunks back, puts each list in order,
-verifies every digest and yields 8-bit mono WAV media.
+verifies every digest and the header, and takes the payload out of the media.
 
-To avoid moving payloads, a writer asks a Bloom filter of FILTER_BITS bits (a fixed
+To avoid moving media, a writer asks a Bloom filter of FILTER_BITS bits (a fixed
 8 MiB whatever the input) whether a chunk may be shared. A false yes only stores a
 chunk in the shared table that could have been inline.
 
@@ -33,6 +33,8 @@ from .common import materialize, mix, slices
 LEAST, MOST, TOP_BITS = 1024, 16384, 12
 FILTER_BITS = 1 << 26
 RATE = 8000
+#: Bytes of a WAV header before the samples.
+HEADER = 44
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -50,7 +52,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def cut(data: bytes) -> list[bytes]:
-    """Chunks of one payload: LEAST to MOST bytes, about 2**TOP_BITS beyond the least."""
+    """Chunks of one record's bytes: LEAST to MOST bytes, about 2**TOP_BITS beyond the least."""
     if len(data) <= LEAST:
         return [data]
     marks = np.flatnonzero(gear(np.frombuffer(data, np.uint8)) >> np.uint32(32 - TOP_BITS) == 0) + 1
@@ -72,7 +74,7 @@ def _texts(batches) -> Iterator[tuple[int | None, int, list[bytes]]]:
         for part in slices(batch):
             for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                 n, data = payload(text)
-                yield doc, n, cut(data)
+                yield doc, n, cut(wave(data))
 
 
 def _batched(rows: Iterator[dict], schema: pa.Schema, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,14 @@ def wave(data: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", (36 + len(data)) & 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(data) & 0xFFFFFFFF) + data
 
 
+def samples(media: bytes) -> bytes:
+    """The payload of WAV media that `wave` has made."""
+    data = media[HEADER:]
+    if media[:HEADER] != wave(data)[:HEADER]:
+        raise ValueError("the media's header does not fit its samples")
+    return data
+
+
 def feature(data: bytes) -> str:
     """Loudest and softest sample, their sum, energy around the middle and crossings of it."""
     x = np.frombuffer(data, np.uint8).astype(np.int64)
@@ -180,8 +190,8 @@ def _values(whole: DataFrame, keys: str) -> DataFrame:
         def rows():
             for batch in batches:
                 for k in range(batch.num_rows):
-                    data = _verified(batch.column("chunks")[k].as_py())
-                    media = wave(data)
+                    media = _verified(batch.column("chunks")[k].as_py())
+                    data = samples(media)
                     values = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(data))
                     yield 400, {n: batch.column(n)[k].as_py() for n in names} | dict(zip(VALUES, values))
 
