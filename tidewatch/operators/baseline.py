@@ -6,8 +6,10 @@ distinct values only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..functions import scalars as S
 DIMS = ("qps", "r4xx", "r5xx", "r404", "auth", "sens", "bot", "empty_ref", "head")
 RATES = DIMS[1:]
 MIN_QPS, FLOOR_P95, DECAY, QUICK_DECAY, WARM_UP, TICK = 1.0, 0.001, 0.8, 0.5, 1800, 10
+#: When a baseline may be used, and how far one is trusted that no preload has judged.
+READY_SAMPLES, READY_AGE, CONFIDENCE = 100, 300, 0.5
 
 
 def histogram(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -104,49 +108,89 @@ def sensitivity(seen: Column, base: int = 2) -> Column:
     return F.when(seen < 20, 1).when(seen > 1000, 3).otherwise(base)
 
 
-def _floored(p: Column) -> Column:
-    """Floors of a rate."""
-    none = p["n"] == 0
-    f = lambda k, low: F.when(none, p[k]).otherwise(F.greatest(p[k], F.lit(low)))
-    return F.struct(f("p50", FLOOR_P95 * 0.3).alias("p50"), f("p95", FLOOR_P95).alias("p95"), f("p99", FLOOR_P95 * 3).alias("p99"), p["n"].alias("n"))
+def _least_qps(p95: float, n: int) -> float:
+    return MIN_QPS if n == 0 or p95 <= 0 else max(0.5, min(50.0, p95 * 0.1))
 
 
-def _merged(old: Column, new: Column, d: Column) -> Column:
+def _floored(p: tuple) -> tuple:
+    """Floors of a rate's (p50, p95, p99, n)."""
+    return p if p[3] == 0 else (max(p[0], FLOOR_P95 * 0.3), max(p[1], FLOOR_P95), max(p[2], FLOOR_P95 * 3), p[3])
+
+
+def _merged(old: tuple, new: tuple, d: float) -> tuple:
     """B9."""
-    empty = new["n"] == 0
-    m = lambda k: F.when(empty, old[k]).otherwise(old[k] * d + new[k] * (1 - d)).alias(k)
-    return F.struct(m("p50"), m("p95"), m("p99"), F.when(empty, old["n"]).otherwise(new["n"]).alias("n"))
+    return old if new[3] == 0 else (*(o * d + v * (1 - d) for o, v in zip(old[:3], new[:3])), new[3])
+
+
+def _folded(dim: str, old: tuple, new: tuple, d: float) -> tuple:
+    """The baseline after one more tick."""
+    if dim != "qps":
+        new = _floored(new)
+        return new if old[3] == 0 else _floored(_merged(old, new, d))
+    low = _least_qps(old[1], old[3]) if old[3] > 0 and old[1] > 0 else _least_qps(MIN_QPS, 1)
+    if new[1] < low:
+        new = (max(new[0], low * 0.3), low, max(new[2], low * 2), new[3])
+    if old[3] == 0:
+        return new
+    both = _merged(old, new, d)
+    return (both[0], max(both[1], _least_qps(both[1], both[3])), both[2], both[3])
 
 
 def baselines(ticks: DataFrame, start: Column) -> DataFrame:
     """The baseline after each tick: tick, dim, p50, p95, p99, n. `start` is when learning began (Unix seconds).
 
-    Ticks fold in order with a decay of 0.8 (0.5 in the first half hour). After 200 ticks a value weighs under 1e-19,
-    so each fold needs a bounded frame only.
+    Ticks fold in order with a decay of 0.8 (0.5 in the first half hour), one pass for each dimension over its sorted
+    ticks, of which there is one in ten seconds whatever the traffic.
     """
-    one = F.struct("p50", "p95", "p99", "n")
     d = F.when(F.col("tick") - start < WARM_UP, QUICK_DECAY).otherwise(DECAY)
-    frame = Window.partitionBy("dim").orderBy("tick").rowsBetween(-200, Window.currentRow)
-    listed = ticks.withColumn("l", F.collect_list(F.struct(one.alias("p"), d.alias("d"))).over(frame))
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("p50", "p95", "p99")], F.lit(0).cast("long").alias("n"))
-
-    def rate(acc: Column, x: Column) -> Column:
-        new = _floored(x["p"])
-        return F.when(acc["n"] == 0, new).otherwise(_floored(_merged(acc, new, x["d"])))
-
-    def qps(acc: Column, x: Column) -> Column:
-        p = x["p"]
-        known = (acc["n"] > 0) & (acc["p95"] > 0)
-        low = F.when(known, min_qps(acc["p95"], acc["n"])).otherwise(min_qps(F.lit(MIN_QPS), F.lit(1)))
-        under = p["p95"] < low
-        lift = lambda k, m: F.when(under, F.greatest(p[k], low * m)).otherwise(p[k]).alias(k)
-        new = F.struct(lift("p50", 0.3), lift("p95", 1.0), lift("p99", 2.0), p["n"].alias("n"))
-        both = _merged(acc, new, x["d"])
-        after = F.struct(both["p50"].alias("p50"), F.greatest(both["p95"], min_qps(both["p95"], both["n"])).alias("p95"), both["p99"].alias("p99"), both["n"].alias("n"))
-        return F.when(acc["n"] == 0, new).otherwise(after)
-
-    folded = F.when(F.col("dim") == "qps", F.aggregate("l", zero, qps)).otherwise(F.aggregate("l", zero, rate))
-    return listed.select("tick", "dim", folded.alias("b")).select("tick", "dim", "b.*")
+    rows = ticks.select("dim", "tick", "p50", "p95", "p99", F.col("n").cast("long").alias("n"), d.alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, (0.0, 0.0, 0.0, 0)
+        for batch in batches:
+            out = []
+            for dim, _, p50, p95, p99, n, decay in zip(*(c.to_pylist() for c in batch.columns)):
+                if dim != key:
+                    key, state = dim, (0.0, 0.0, 0.0, 0)
+                state = _folded(dim, state, (p50, p95, p99, n), decay)
+                out.append(state)
+            cols = list(zip(*out)) if out else [()] * 4
+            values = [pa.array(cols[k], pa.float64()) for k in range(3)] + [pa.array(cols[3], pa.int64())]
+            yield pa.record_batch([batch.column("tick"), batch.column("dim"), *values], names=["tick", "dim", "p50", "p95", "p99", "n"])
+
+    return rows.repartition("dim").sortWithinPartitions("dim", "tick").mapInArrow(run, "tick long, dim string, p50 double, p95 double, p99 double, n long")
+
+
+def learnt(events: DataFrame, ticks: DataFrame, start: Column, name: str, every: int = TICK, conf: float = CONFIDENCE) -> DataFrame:
+    """The events with a struct `name`, the baseline that holds at each: {dim}_p50, _p95, _n, conf, own_*.
+
+    The last tick up to an event's own one counts. Until the tick has READY_SAMPLES samples over all dimensions and
+    learning is READY_AGE seconds old, wide defaults of no confidence stand in; own_qps_* and own_conf are what has been
+    learnt in any case. Events without a time get the defaults.
+    """
+    at = (F.floor(F.col("ts") / every) * every).cast("long")
+    value = "struct<p50:double,p95:double,n:bigint>"
+    asked = events.select(at.alias("tick")).where("tick is not null").distinct().select("tick", F.explode(F.array(*map(F.lit, DIMS))).alias("dim"), F.lit(None).cast(value).alias("p"))
+    known = ticks.select("tick", "dim", F.struct("p50", "p95", "n").cast(value).alias("p")).unionByName(asked)
+    past = Window.partitionBy("dim").orderBy("tick").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    each = known.withColumn("p", F.last("p", ignorenulls=True).over(past))
+    pick = lambda d, k: F.max(F.when(F.col("dim") == d, F.col("p").getField(k)))
+    wide = each.groupBy(F.col("tick").alias("_at")).agg(F.struct(*[F.coalesce(pick(d, k), F.lit(0)).alias(f"{d}_{k}") for d in DIMS for k in ("p50", "p95", "n")]).alias("_own"))
+    both = events.withColumn("_tick", at).join(wide, F.col("_tick") == F.col("_at"), "left")
+    own = lambda f: F.coalesce(F.col("_own").getField(f), F.lit(0))
+    total = sum((own(f"{d}_n") for d in DIMS), F.lit(0))
+    both = both.withColumn("_ready", F.coalesce((total >= READY_SAMPLES) & (F.col("ts") - start >= READY_AGE), F.lit(False)))
+    ready = lambda f, other: F.when(F.col("_ready"), own(f)).otherwise(F.lit(other)).alias(f)
+    dims = [x for d in DIMS for x in (ready(f"{d}_p50", 0.0), ready(f"{d}_p95", 1000.0 if d == "qps" else 1.0), ready(f"{d}_n", 0))]
+    conf_now = F.when(F.col("_ready"), F.lit(conf)).otherwise(F.lit(0.0)).alias("conf")
+    raw = [own(f"qps_{k}").alias(f"own_qps_{k}") for k in ("p50", "p95", "n")]
+    return both.withColumn(name, F.struct(*dims, conf_now, *raw, F.lit(conf).alias("own_conf"))).drop("_tick", "_at", "_own", "_ready")
+
+
+def columns(name: str) -> dict[str, Column]:
+    """The fields of a struct that `learnt` has added, by name."""
+    fields = [f"{d}_{k}" for d in DIMS for k in ("p50", "p95", "n")] + ["conf", "own_conf", *(f"own_qps_{k}" for k in ("p50", "p95", "n"))]
+    return {f: F.col(name).getField(f) for f in fields}
 
 
 def as_of(events: DataFrame, ticks: DataFrame, every: int = TICK) -> DataFrame:

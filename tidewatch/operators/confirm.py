@@ -24,7 +24,7 @@ def step(state: dict | None, ts: int, path: str, sure: bool, c: Confirm) -> tupl
         return state, True
     if state is None or ts - state["last"] > c.observe and ts - state["first"] > c.observe:
         return {"first": ts, "last": ts, "count": 1, "path": path}, False
-    if ts - state["last"] <= c.merge and (path == state["path"] or ts == state["last"]):
+    if c.merge > 0 and ts - state["last"] <= c.merge and (path == state["path"] or ts == state["last"]):
         return state | {"last": ts}, False
     if ts - state["first"] > c.observe:
         return {"first": ts, "last": ts, "count": 1, "path": path}, False
@@ -32,25 +32,36 @@ def step(state: dict | None, ts: int, path: str, sure: bool, c: Confirm) -> tupl
     return new, new["count"] >= c.count
 
 
-def confirm_blocks(scored: DataFrame, c: Confirm = Confirm()) -> DataFrame:
-    """source_ip, ts, seq, count of every event that asks for a block, from rows (source_ip, ts, seq, path, is_high, high_confidence)."""
-    high = sessions(scored.where("is_high"), idle=c.observe + 1)
+def confirm_blocks(scored: DataFrame, c: Confirm = Confirm(), ttl: int | None = None) -> DataFrame:
+    """source_ip, ts, seq, count, accepted of every event that asks for a block, from rows (source_ip, ts, seq, path, is_high, high_confidence).
+
+    With `ttl` an address is blocked for as many seconds by the first such event; later ones in that time are not
+    accepted (X2: an accepted block clears the observation). Without it no block is accepted, so observations go on.
+    Rows may have `honeypot`: such an event asks at once and leaves the observation as it is.
+    """
+    trap = F.coalesce(F.col("honeypot"), F.lit(False)) if "honeypot" in scored.columns else F.lit(False)
+    high = sessions(scored.where("is_high"), idle=max(c.observe, ttl or 0) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        key, state, until = None, None, None
         for b in batches:
             out = []
-            for ip, session, ts, seq, path, sure in zip(*(b.column(n).to_pylist() for n in ("source_ip", "session", "ts", "seq", "path", "high_confidence"))):
+            for ip, session, ts, seq, path, sure, trapped in zip(*(x.to_pylist() for x in b.columns)):
                 if (ip, session) != key:
-                    key, state = (ip, session), None
-                state, block = step(state, ts, path, sure, c)
+                    key, state, until = (ip, session), None, None
+                block = trapped
+                if not trapped:
+                    state, block = step(state, ts, path, sure, c)
                 if block:
-                    out.append((ip, ts, seq, state["count"] if state else 1))
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(x, pa.int64()) for x in cols[1:])], names=["source_ip", "ts", "seq", "count"])
-
-    rows = high.select("source_ip", "session", "ts", "seq", "path", "high_confidence")
-    return rows.repartition("source_ip", "session").sortWithinPartitions("source_ip", "session", "ts", "seq").mapInArrow(run, "source_ip string, ts long, seq long, count long")
+                    accepted = ttl is not None and (until is None or ts >= until)
+                    out.append((ip, ts, seq, state["count"] if state else 1, accepted))
+                    if accepted:
+                        until, state = ts + ttl, state if trapped else None
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(x, pa.int64()) for x in cols[1:4]), pa.array(cols[4], pa.bool_())], names=["source_ip", "ts", "seq", "count", "accepted"])
+
+    rows = high.select("source_ip", "session", "ts", "seq", "path", "high_confidence", trap.alias("trap"))
+    return rows.repartition("source_ip", "session").sortWithinPartitions("source_ip", "session", "ts", "seq").mapInArrow(run, "source_ip string, ts long, seq long, count long, accepted boolean")
 
 
 def idor(events: DataFrame, path_regex: str, id_regex: str, window: int = 60, most: int = 20, weight: int = 15) -> DataFrame:

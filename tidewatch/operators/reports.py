@@ -19,6 +19,19 @@ def report(events: DataFrame, every: int | None = None) -> DataFrame:
     return events.groupBy((F.floor(F.col("ts") / every) * every).cast("long").alias("period")).agg(*aggs)
 
 
+def logged(events: DataFrame, low: int = 10) -> DataFrame:
+    """The events that statistics and logs see; a threshold of 0 or less stands for 10."""
+    return events.where(F.col("final") >= (low if low > 0 else 10))
+
+
+def logged_report(events: DataFrame, low: int = 10, every: int = 600) -> DataFrame:
+    """A1 behind G6: per period all processed events, and of those at least `low` the addresses and score classes."""
+    period = (F.floor(F.col("ts") / every) * every).cast("long").alias("period")
+    all_of = events.groupBy(period).agg(F.count("*").alias("processed"))
+    seen = logged(events, low).groupBy(period).agg(F.count("*").alias("total"), F.count_distinct("source_ip").alias("ips"), F.count_if("is_high").alias("high"), F.count_if(~F.col("is_high")).alias("medium"))
+    return all_of.join(seen, "period", "left").na.fill(0, ["total", "ips", "high", "medium"])
+
+
 def per_source(events: DataFrame) -> DataFrame:
     """A1 by source and status class, with subtotals."""
     return events.rollup("source", F.floor(F.col("status") / 100).alias("status_class")).agg(F.count("*").alias("n"))

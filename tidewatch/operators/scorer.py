@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DetectorConfig
 from ..functions import scalars as S
 from .baseline import DIMS, Preload, guard_qps, sensitivity, thresholds
+from .indicators import COUNTERS
 
 RELATIVE = ("qps", "r4xx", "r5xx", "auth", "r404", "sens", "bot", "empty_ref", "head")
 COUNT_OF = {"r4xx": "c4xx", "r5xx": "c5xx", "r404": "c404", "auth": "auth_fail", "sens": "sens", "bot": "bot", "empty_ref": "empty_ref", "head": "head"}
@@ -30,10 +31,11 @@ def score_window(df: DataFrame, w: int, base: Mapping[str, Column], cfg: Detecto
     high, med, cap = cfg.high, cfg.medium, cfg.high * 6 // 10
     c = lambda n: F.col(f"{n}_{w}")
     v = lambda n: F.col(f"_{n}")
+    learnt = lambda n: base.get(f"own_{n}", base[n])
     total = c("total")
     cut = lambda x: F.floor(x).cast("long")
     sens = sensitivity(F.col("seen"), cfg.sensitivity)
-    df = df.withColumns({"_s": sens, "_th": F.element_at(thresholds(base["qps_p50"], base["qps_p95"], base["qps_n"], base["conf"]), sens), "_qps": total / F.lit(float(w))})
+    df = df.withColumns({"_s": sens, "_th": F.element_at(thresholds(learnt("qps_p50"), learnt("qps_p95"), learnt("qps_n"), learnt("conf")), sens), "_qps": total / F.lit(float(w))})
     # Deviations.
     qdev = S.deviation(v("qps"), base["qps_p95"])
     own = F.when((F.col("seen") > 20) & (F.col("ema") > 0), v("qps") / F.col("ema"))
@@ -72,7 +74,7 @@ def score_window(df: DataFrame, w: int, base: Mapping[str, Column], cfg: Detecto
     points = F.when(proof, v("raw_empty_ref")).otherwise(cut(v("raw_empty_ref") / 5))
     capped["_rel_empty_ref"] = F.least(points, F.when(many404, high // 2).otherwise(high // 4), F.lit(cap)).cast("long")
     df = df.withColumns(capped)
-    idle = v("qps") < guard_qps(base["qps_p95"], base["qps_n"])
+    idle = v("qps") < guard_qps(learnt("qps_p95"), learnt("qps_n"))
     df = df.withColumn("_idle", idle).withColumns({f"_rel_{d}": F.when(v("idle"), 0).otherwise(v(f"rel_{d}")).cast("long") for d in RELATIVE})
     dims = reduce(lambda a, d: a + F.when(v(f"rel_{d}") > 0, 1).otherwise(0), RELATIVE, F.lit(0))
     df = df.withColumns({"_dims": dims, "_rel": reduce(lambda a, d: a + v(f"rel_{d}"), RELATIVE, F.lit(0)), "_abs": v("danger") + v("dmethod") + v("upload") + v("trav")})
@@ -90,18 +92,27 @@ def score_window(df: DataFrame, w: int, base: Mapping[str, Column], cfg: Detecto
     return df.drop(*[x for x in df.columns if x.startswith("_")])
 
 
-def score(df: DataFrame, base: Mapping[str, Column], cfg: DetectorConfig = DetectorConfig(), idor: Column | None = None, benign: Column | None = None) -> DataFrame:
-    """K1-K6: best, final, is_high, high_confidence, freq and detect of every event."""
+def _best(df: DataFrame, base: Mapping, cfg: DetectorConfig) -> DataFrame:
+    """K1: add the window scores and `best`, which stays under `high` if no window's baseline can be trusted."""
+    of = lambda w: base.get(w, base)
     for w in cfg.windows:
-        df = score_window(df, w, base, cfg)
+        df = score_window(df, w, of(w), cfg)
+    top = F.least(F.greatest(F.lit(0), *[F.col(f"score_{w}") for w in cfg.windows]), F.lit(2 * cfg.high))
+    trust = S.any_of([of(w).get("own_conf", of(w)["conf"]) >= 0.1 for w in cfg.windows])
+    return df.withColumn("best", F.when((top >= cfg.high) & ~trust, cfg.high - 1).otherwise(top).cast("long"))
+
+
+def score(df: DataFrame, base: Mapping, cfg: DetectorConfig = DetectorConfig(), idor: Column | None = None, benign: Column | None = None) -> DataFrame:
+    """K1-K6: best, final, is_high, high_confidence, freq and detect of every event.
+
+    `base` is one baseline for all windows or a baseline for each (see `literals` and `baseline.columns`).
+    """
+    df = _best(df, base, cfg)
     each = lambda n: [F.col(f"{n}_{w}") for w in cfg.windows]
-    best = F.least(F.greatest(F.lit(0), *each("score")), F.lit(2 * cfg.high))
-    best = F.when((best >= cfg.high) & (base["conf"] < 0.1), cfg.high - 1).otherwise(best).cast("long")
-    df = df.withColumn("best", best)
-    final = F.least(F.lit(cfg.high), F.col("best") + (idor if idor is not None else F.lit(0)))
+    final = F.least(F.lit(cfg.high), F.col("best") + (F.coalesce(idor, F.lit(0)) if idor is not None else F.lit(0)))
     if benign is not None:
         trusted = S.any_of([S.in_cidr(F.col("source_ip"), n) for n in cfg.trusted_subnets])
-        final = F.when((final >= cfg.high) & benign & ~trusted, cfg.medium).otherwise(final)
+        final = F.when((final >= cfg.high) & F.coalesce(benign, F.lit(False)) & ~trusted, cfg.medium).otherwise(final)
     sure = S.any_of([(F.col(f"danger_{w}") >= 2) | (F.col(f"s_dmethod_{w}") > 0) | (F.col(f"s_upload_{w}") > 0) | ((F.col(f"s_bot_{w}") > 0) & ~F.col(f"legit_{w}")) for w in cfg.windows])
     return df.withColumns({
         "final": final.cast("long"), "is_high": final >= cfg.high, "high_confidence": sure,
@@ -109,6 +120,20 @@ def score(df: DataFrame, base: Mapping[str, Column], cfg: DetectorConfig = Detec
     })
 
 
+def recent_scores(events: DataFrame, now: Column, base: Mapping, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """K8: source_ip, score of every address that is not idle at `now`, over its plain counters (no distinct bases).
+
+    `events` have the counters of W1, `seen` and `ema`; of an address's last event these two count.
+    """
+    past = events.where(F.col("ts") <= now)
+    within = lambda w, c: F.coalesce(F.sum(F.when(F.col("ts") > now - w, F.col(c))), F.lit(0))
+    sums = {f"{c}_{w}": within(w, c) for w in cfg.windows for c in COUNTERS}
+    last = F.max_by(F.struct("seen", "ema"), F.struct("ts", "seq")).alias("x")
+    own = past.groupBy("source_ip").agg(F.max("ts").alias("last"), last, *[c.alias(n) for n, c in sums.items()]).where(now - F.col("last") < cfg.idle)
+    wide = own.select("source_ip", "x.seen", "x.ema", *sums, *[F.lit(0).cast("long").alias(f"d4xx_{w}") for w in cfg.windows])
+    return _best(wide, base, cfg).select("source_ip", F.col("best").alias("score"))
+
+
 def local_scores(scored: DataFrame) -> DataFrame:
     """K6, K7: per address the frequency and detector scores at its last event, and when that was."""
     last = F.max(F.struct("ts", "seq", "freq", "detect")).alias("x")

@@ -7,10 +7,12 @@ Skew: an address may have a third of all events. Its windows look back at most
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import scalars as S
 from .indicators import COUNTERS
@@ -137,12 +139,24 @@ def latest(events: DataFrame, keep: int = 512) -> DataFrame:
 
 
 def ema(events: DataFrame, size: int = 10, decay: float = 0.95) -> DataFrame:
-    """Seen and the moving average of (events of this second so far) / size, over one idle session."""
-    rows = sessions(events)
-    second = F.row_number().over(Window.partitionBy("source_ip", "session", "ts").orderBy("seq"))
-    w = Window.partitionBy("source_ip", "session").orderBy("ts", "seq")
-    rated = rows.withColumn("_r", second / F.lit(float(size))).withColumn("seen", F.row_number().over(w).cast("long"))
-    # Weights beyond 900 events are under 1e-20, so a bounded frame gives the full average.
-    past = F.collect_list("_r").over(w.rowsBetween(-900, Window.currentRow))
-    fold = F.aggregate(past, F.lit(0.0), lambda e, r: decay * e + (1 - decay) * r)
-    return rated.withColumn("ema", fold).drop("_r")
+    """Seen and the moving average of (events of this second so far) / size, over one idle session.
+
+    Rows stream once through partitions sorted by (address, session), so a session of any length is never gathered.
+    """
+    rows = sessions(events).repartition("source_ip", "session").sortWithinPartitions("source_ip", "session", "ts", "seq")
+    schema = StructType([*rows.schema.fields, StructField("seen", LongType()), StructField("ema", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, second, n, seen, e = None, None, 0, 0, 0.0
+        for batch in batches:
+            counts, means = [], []
+            for ip, session, ts in zip(*(batch.column(c).to_pylist() for c in ("source_ip", "session", "ts"))):
+                if (ip, session) != key:
+                    key, second, n, seen, e = (ip, session), None, 0, 0, 0.0
+                n = n + 1 if ts == second else 1
+                second, seen, e = ts, seen + 1, decay * e + (1 - decay) * n / size
+                counts.append(seen)
+                means.append(e)
+            yield pa.record_batch([*batch.columns, pa.array(counts, pa.int64()), pa.array(means, pa.float64())], names=[*batch.schema.names, "seen", "ema"])
+
+    return rows.mapInArrow(run, schema)

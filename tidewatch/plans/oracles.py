@@ -175,6 +175,8 @@ ORACLES = {
       union all select distinct source_ip, 'unblock' from access where {IN_NETS.format('source_ip')}""",
     "diff_apply": f"""with {ACCESS}, {INTEL}, x as (select ip, -1 as seq, 'add' as op, score::double as score from intel union all select source_ip, seq, case when status = 404 then 'del' else 'add' end, (seq % 101)::double from access where seq > 500),
       l as (select ip, max_by(op, seq) as op, max_by(score, seq) as score from x group by ip) select ip, score from l where op = 'add'""",
+    "logged_report": f"""with {JUDGED} select cast(ts // 600 * 600 as bigint) as period, count(*) as processed, count(*) filter (final >= 10) as total, count(distinct source_ip) filter (final >= 10) as ips,
+        count(*) filter (final >= 10 and is_high) as high, count(*) filter (final >= 10 and not is_high) as medium from j group by 1""",
     "detector_report": f"""with {JUDGED} select cast(ts // 600 * 600 as bigint) as period, count(*) as processed, count(*) filter (final > 0) as scored, count(distinct source_ip) as ips, count(*) filter (is_high) as high, count(*) filter (final > 0 and not is_high) as medium,
       count(*) filter (final <= 0) as low, count(*) filter (status // 100 = 2) as s2xx, count(*) filter (status // 100 = 3) as s3xx, count(*) filter (status // 100 = 4) as s4xx, count(*) filter (status // 100 = 5) as s5xx from j group by 1""",
     "per_source": f"with {ACCESS} select source, cast(status // 100 as bigint) as status_class, count(*) as n from access group by rollup (source, status_class)",

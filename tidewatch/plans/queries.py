@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import features
+from .. import config, features
 from ..functions import decoding, parsers
 from ..functions import scalars as S
-from ..operators import baseline, confirm, consistency, decision, indicators, reports, scorer, windows
+from ..operators import baseline, confirm, consistency, decision, detect, indicators, reports, scorer, windows
 from ..session import share_code, written
 from ..sources import access as src
 
@@ -335,11 +335,13 @@ def ip_diversity(spark, d):
 # Scores (2.7)
 
 
-def _scored(spark, d):
+def _scored(spark, d, benign=None):
     a = _indicated(spark, d).where(indicators.route() == "scored")
     learnt = baseline.preload(windows.buckets(src.access(spark, d)))
-    wide = written(windows.ema(windows.window_counters(a)))
-    return scorer.score(wide, scorer.literals(learnt))
+    wide = windows.ema(windows.window_counters(a))
+    if benign is not None:
+        wide = wide.join(benign, "source_ip", "left")
+    return scorer.score(written(wide), scorer.literals(learnt), benign=None if benign is None else F.col("is_benign"))
 
 
 @query
@@ -356,9 +358,21 @@ def local_scores(spark, d):
 def gated_scores(spark, d):
     """The consistency gate: high scores of benign addresses fall to medium."""
     shape = consistency.consistency(src.access(spark, d)).select("source_ip", "is_benign")
-    s = _scored(spark, d).select("seq", "source_ip", "final").join(shape, "source_ip", "left")
-    gated = F.when((F.col("final") >= 50) & F.coalesce("is_benign", F.lit(False)), 30).otherwise(F.col("final"))
-    return s.select("seq", "final", gated.cast("long").alias("gated"))
+    return _scored(spark, d, shape).select("seq", F.least("best", F.lit(50)).alias("final"), F.col("final").alias("gated"))
+
+
+@query
+def recent_scores(spark, d):
+    a = src.access(spark, d)
+    e = written(windows.ema(_indicated(spark, d)))
+    return scorer.recent_scores(e, F.lit(_now(a)), scorer.literals(baseline.preload(windows.buckets(a))))
+
+
+@query
+def learnt_baseline(spark, d):
+    """The baseline of each event's moment, or the defaults until it is ready."""
+    e = baseline.learnt(src.access(spark, d), written(_baselines(spark, d)), F.lit(src.EPOCH), "b")
+    return e.select("seq", "b.conf", *[F.round(f"b.{c}", 6).alias(c) for c in ("qps_p95", "r4xx_p95", "own_qps_p95")])
 
 
 @query
@@ -504,10 +518,21 @@ def confirm_blocks(spark, d):
     return confirm.confirm_blocks(a.select("source_ip", "ts", "seq", "path", "is_high", "high_confidence"))
 
 
+#: Settings that the log view exercises: a trap, a trusted network and the enumeration of orders.
+_CFG = config.DetectorConfig(honeypot_paths=("/phpmyadmin/",), trusted_subnets=("198.51.100.0/30",))
+_ORDERS = ("^/api/v1/orders/", "/orders/([0-9]+)", 20)
+
+
+@query
+def detected(spark, d):
+    """End to end: every event's score with learnt baselines, enumeration, the gate and traps."""
+    return detect.detect(src.access(spark, d), _CFG, _ORDERS)
+
+
 @query
 def scored_blocks(spark, d):
-    """End to end: scores with the preload's baseline, then confirmation."""
-    return confirm.confirm_blocks(written(_scored(spark, d).select("source_ip", "ts", "seq", "path", "is_high", "high_confidence")))
+    """End to end: the block requests of the detected events, and which of them are accepted."""
+    return detect.blocks(written(detect.detect(src.access(spark, d), _CFG, _ORDERS)), _CFG)
 
 
 @query
@@ -532,6 +557,11 @@ def detector_report(spark, d):
     return reports.report(_judged(spark, d), 600)
 
 
+@query
+def logged_report(spark, d):
+    return reports.logged_report(_judged(spark, d))
+
+
 @query
 def per_source(spark, d):
     return reports.per_source(src.access(spark, d))
