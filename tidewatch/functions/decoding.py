@@ -38,9 +38,12 @@ def _char(n: int, else_: str) -> str:
 
 
 def _entity(m: re.Match) -> str:
+    """Numbers of more than seven digits name no character, however long they are."""
     if m[2]:
         return NAMED.get(m[2], m[0])
-    return _char(int(m[1][1:], 16) if m[1][0] == "x" else int(m[1]), m[0])
+    digits, base = (m[1][1:], 16) if m[1][0] == "x" else (m[1], 10)
+    digits = digits.lstrip("0") or "0"
+    return _char(int(digits, base), m[0]) if len(digits) <= 7 else m[0]
 
 
 def _hex(m: re.Match) -> str:
@@ -119,15 +122,6 @@ def _normalized(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"path": _each(s, clean_path), "traversal": _each(s, climbs)})
 
 
-def _seen(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"text": _each(s, decode), "traversal": _each(s, climbs)})
-
-
-def seen_path(c: Column) -> Column:
-    """F4 and F5 in one call: struct of the decoded text and whether it climbs."""
-    return F.pandas_udf(_seen, "struct<text:string,traversal:boolean>")(c)
-
-
 def normalize_request_path(c: Column) -> Column:
     """struct of the cleaned path and whether it climbs."""
     return F.pandas_udf(_normalized, "struct<path:string,traversal:boolean>")(c)
@@ -239,7 +233,13 @@ def ipv6_bits(ip: Column) -> Column:
     return _mapped(_bits, "string")(ip)
 
 
-def routed_path(path: Column) -> Column:
-    """F6 for routing: only paths that decoding or cleaning can change go to Python."""
+def _looked_at(s: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"path": _each(s, clean_path), "text": _each(s, decode), "traversal": _each(s, climbs)})
+
+
+def looked_at(path: Column) -> Column:
+    """Struct of the cleaned path (F6), the decoded text (F4) and whether it climbs (F5); only texts that decoding or cleaning can change go to Python."""
     odd = path.rlike(r"[%+\\&]|//|/\.|^\.") | ~path.startswith("/")
-    return F.when(odd, normalize_request_path(F.when(odd, path))["path"]).otherwise(F.substring_index(path, "?", 1))
+    seen = F.pandas_udf(_looked_at, "struct<path:string,text:string,traversal:boolean>")(F.when(odd, path))
+    plain = F.struct(F.substring_index(path, "?", 1).alias("path"), path.alias("text"), F.lit(False).alias("traversal"))
+    return F.when(odd | path.isNull(), seen).otherwise(plain)

@@ -1,14 +1,19 @@
-"""Behaviour shape of an address's last events (C1-C9), one row per address. Ties between paths break by path."""
+"""Behaviour shape of an address's last events (C1-C9): one row per address, or as of each event. Ties between paths break by path."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter, defaultdict, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .windows import latest
+from .windows import CHUNK, latest
 
 # Paths that clients probe on their own, and extensions that never count as failing endpoints.
 COMMON_PROBE = r"(?i)^/(favicon\.ico|robots\.txt|sitemap\.xml|crossdomain\.xml|\.well-known/.*)$"
@@ -119,3 +124,145 @@ def consistency(events: DataFrame, t: Shape = Shape(), keep: int = 512) -> DataF
     names = ("avg_run", "dominant", "early", "late", "cover", "cv", "method_ok", "always_error", "n_paths")
     out = out.withColumn("has_samples", F.col("total") >= t.least).withColumn("score", verdict({n: F.col(n) for n in names}, t).cast("long"))
     return out.withColumn("is_benign", F.col("has_samples") & (F.col("score") >= t.benign))
+
+
+class Recent:
+    """The shape of a sliding window of events, kept up to date event by event.
+
+    Events are (first segment, path, status, method code, whether the path is a probe, whether it is static). Counts of
+    what the window holds change by one step as an event comes or goes; the early and late thirds are two windows more.
+    """
+
+    def __init__(self, keep: int):
+        self.keep, self.ring = keep, deque()
+        self.segs, self.paths, self.fine, self.methods, self.runs = Counter(), Counter(), Counter(), Counter(), 0
+        self.status: dict[str, Counter] = defaultdict(Counter)
+        self.early, self.late, self.fresh = Counter(), Counter(), 0
+        self.split, self.tail = 0, 0  # events in the early third; events before the late third
+
+    def _count(self, counter: Counter, key: object, by: int) -> None:
+        counter[key] += by
+        if not counter[key]:
+            del counter[key]
+
+    def _in_early(self, path: str, by: int) -> None:
+        known = path in self.early
+        self._count(self.early, path, by)
+        if known != (path in self.early):
+            self.fresh += self.late[path] if known else -self.late[path]
+
+    def _in_late(self, path: str, by: int) -> None:
+        self._count(self.late, path, by)
+        if path not in self.early:
+            self.fresh += by
+
+    def _change(self, event: tuple, by: int) -> None:
+        seg, path, status, method, _, _ = event
+        self._count(self.segs, seg, by)
+        self._count(self.paths, path, by)
+        self._count(self.methods, method, by)
+        self._count(self.status[path], status, by)
+        if not self.status[path]:
+            del self.status[path]
+        if status is not None and status < 400:
+            self._count(self.fine, path, by)
+
+    def add(self, event: tuple) -> None:
+        ring = self.ring
+        if len(ring) == self.keep:
+            old = ring.popleft()
+            self._change(old, -1)
+            # The run of the oldest event goes on without it, unless the next one began another.
+            self.runs -= ring[0][0] != old[0] if ring else 1
+            if self.split:
+                self._in_early(old[1], -1)
+                self.split -= 1
+            if self.tail:
+                self.tail -= 1
+            else:
+                self._in_late(old[1], -1)
+        self.runs += not ring or ring[-1][0] != event[0]
+        ring.append(event)
+        self._change(event, 1)
+        self._in_late(event[1], 1)
+        k = max(len(ring) // 3, 1)
+        while self.split < k:
+            self._in_early(ring[self.split][1], 1)
+            self.split += 1
+        while self.tail < len(ring) - k:
+            self._in_late(ring[self.tail][1], -1)
+            self.tail += 1
+
+    def benign(self, t: Shape) -> tuple[int, int, bool]:
+        """C1-C8 for the window as it is: events, score, verdict."""
+        total = len(self.ring)
+        k = max(total // 3, 1)
+        top = nsmallest(5, self.paths.items(), key=lambda x: (-x[1], x[0]))
+        cvs = [_spread(list(s.values())) for p, s in self.status.items() if self.paths[p] >= 3]
+        cv = round(math.fsum(cvs) / len(cvs), 3) if cvs else 0.0
+        get, post = self.methods["G"] / total, self.methods["P"] / total
+        odd = sum(self.methods[m] for m in "UDOHX") / total
+        fits = (0.5 <= get <= 0.99 and 0.01 <= post <= 0.49 and odd < 0.05) or (get >= 0.8 and odd < 0.01) or (post >= 0.5 and get > 0.01 and odd < 0.05)
+        early, late, cover = len(self.early) / len(self.paths), self.fresh / k, sum(n for _, n in top) / total
+        kind = {e[1]: (e[4], e[5]) for e in self.ring} if any(p not in self.fine for p, _ in top) else {}
+        fails = any(p not in self.fine and (kind[p][0] or not kind[p][1]) and n >= (10 if kind[p][0] else 5) and all(x is not None for x in self.status[p]) for p, n in top)
+        divergent = early < 0.5 and late > 0.7 and cover < 0.4
+        score = 2 * (total / self.runs >= t.run or max(self.segs.values()) / total >= t.dominant) + 2 * (early >= t.early and late <= t.late)
+        score += 2 * (cover >= t.cover) + (cv < t.cv) + fits - 5 * fails - 3 * (fails and len(self.paths) < 3) - 3 * divergent
+        return total, score, total >= t.least and score >= t.benign
+
+
+def _spread(counts: list[int]) -> float:
+    """Sample deviation over mean; 0 for one number."""
+    if len(counts) < 2:
+        return 0.0
+    mean = sum(counts) / len(counts)
+    return math.sqrt(sum((x - mean) ** 2 for x in counts) / (len(counts) - 1)) / mean
+
+
+#: Events of an address that stream through one piece, beside the context copied before them.
+PIECE = 8192
+
+
+def numbered(events: DataFrame, key: str = "source_ip") -> DataFrame:
+    """Add _pos, each event's place (from 0) among the key's events, without a window over all events of a key.
+
+    Places are counted per (key, chunk of time); a small table of one row per such pair carries the earlier chunks' sizes.
+    """
+    rows = events.withColumn("_t", F.floor(F.col("ts") / CHUNK))
+    sizes = rows.groupBy(F.col(key).alias("_k"), F.col("_t").alias("_u")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_k", "_u", (F.sum("_n").over(Window.partitionBy("_k").orderBy("_u")) - F.col("_n")).alias("_b"))
+    place = F.row_number().over(Window.partitionBy(key, "_t").orderBy("ts", "seq")) - 1
+    joined = rows.join(before, F.col(key).eqNullSafe(F.col("_k")) & F.col("_t").eqNullSafe(F.col("_u")), "left")
+    return joined.withColumn("_pos", (F.col("_b") + place).cast("long")).drop("_k", "_u", "_b", "_t")
+
+
+def as_of(events: DataFrame, t: Shape = Shape(), keep: int = 512, asked: Column | None = None) -> DataFrame:
+    """K3: seq, total, score, is_benign as of each event (those that are `asked`), over the address's last `keep` events.
+
+    `seq` must be unique. An address's events are cut into pieces by their place, and the keep - 1 events before a piece
+    are copied into it; within a piece the shape slides, so later events change no earlier verdict, and an address with a
+    third of all events is as many pieces as it needs. No events give no rows.
+    """
+    bare = S.without_query(F.col("path"))
+    rows = numbered(events.select("seq", "ts", "source_ip", F.coalesce("path", F.lit("")).alias("path"), "status", "method", (asked if asked is not None else F.lit(True)).alias("_ask")))
+    piece = F.floor(F.col("_pos") / PIECE)
+    both = F.when(F.col("_pos") % PIECE >= PIECE - keep + 1, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    rows = rows.withColumn("_piece", F.explode(both)).withColumn("_ask", F.coalesce("_ask", F.lit(False)) & (F.col("_piece") == piece))
+    rows = rows.select("source_ip", "_piece", "_pos", "seq", "_ask", S.first_segment(F.col("path")).alias("seg"), "path", "status", S.method_code(F.col("method")).alias("method"), bare.rlike(COMMON_PROBE).alias("probe"), bare.rlike(STATIC_PATH).alias("static"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, recent = None, None
+        for batch in batches:
+            out = []
+            for ip, p, _, seq, ask, *event in zip(*(x.to_pylist() for x in batch.columns)):
+                if (ip, p) != of:
+                    of, recent = (ip, p), Recent(keep)
+                recent.add(tuple(event))
+                if ask:
+                    out.append((seq, *recent.benign(t)))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.bool_())], names=["seq", "total", "score", "is_benign"])
+
+    dealt = rows.repartition("source_ip", "_piece").sortWithinPartitions("source_ip", "_piece", "_pos")
+    return dealt.mapInArrow(run, "seq long, total long, score long, is_benign boolean")

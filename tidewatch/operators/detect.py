@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
 from ..session import written
-from . import baseline, consistency, scorer, windows
+from . import baseline, consistency, indicators, scorer, windows
 from .confirm import confirm_blocks, idor
-from .indicators import indicators, route
 
 RESULT = ("seq", "ts", "source_ip", "source", "path", "status", "route", "best", "final", "is_high", "high_confidence", "honeypot")
 
@@ -19,25 +18,27 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource:
 
     Each window has a baseline of its own, learnt from the first scored event on and looked up as of each event; until it
     is ready, wide defaults hold. `resource` is (path pattern, id pattern, most) of the enumeration check. A trap scores
-    twice `high` at once. Behaviour is that of an address's last events of the whole table. No events give no rows.
+    twice `high` at once. Paths are scored, and come out, as F6 cleans them. Behaviour is that of an address's last scored
+    events as of each event whose score could be high. No events give no rows.
     """
     edge = F.col("edge_ip") if "edge_ip" in events.columns else None
-    routed = written(events.withColumn("route", route(cfg, edge)).where("route in ('scored', 'honeypot')"))
-    own = indicators(routed.where("route = 'scored'"), cfg)
-    start = F.lit(routed.where("route = 'scored'").agg(F.min("ts")).first()[0]).cast("long")
+    own = indicators.cleaned(events)
+    routed = written(own.withColumn("route", indicators.route(cfg, edge, clean=True)).where("route in ('scored', 'honeypot')"))
+    own = written(indicators.indicators(routed.where("route = 'scored'"), cfg))
+    start = F.lit(own.agg(F.min("ts")).first()[0]).cast("long")
     wide = windows.ema(windows.window_counters(own, cfg.windows))
     for w in cfg.windows:
         ticks = written(baseline.baselines(baseline.tick_percentiles(windows.snapshots(own, w), w), start))
         wide = baseline.learnt(wide, ticks, start, f"base_{w}")
     if resource:
         path, ident, most = resource
-        wide = wide.join(idor(routed.where("route = 'scored'"), path, ident, most=most).select(F.col("seq").alias("_seq"), "idor"), F.col("seq") == F.col("_seq"), "left").drop("_seq")
+        wide = wide.join(idor(own, path, ident, most=most).select(F.col("seq").alias("_seq"), "idor"), F.col("seq") == F.col("_seq"), "left").drop("_seq")
     else:
         wide = wide.withColumn("idor", F.lit(0))
-    shape = consistency.consistency(routed.where("route = 'scored'")).select(F.col("source_ip").alias("_ip"), "is_benign")
-    wide = written(wide.join(shape, F.col("source_ip") == F.col("_ip"), "left").drop("_ip"))
     bases = {w: baseline.columns(f"base_{w}") for w in cfg.windows}
-    scored = scorer.score(wide, bases, cfg, F.col("idor"), F.col("is_benign")).withColumn("honeypot", F.lit(False))
+    scored = written(scorer.score(written(wide), bases, cfg, F.col("idor")).withColumn("honeypot", F.lit(False)).select(*RESULT, "method"))
+    shape = consistency.as_of(scored, asked=F.col("final") >= cfg.high).select(F.col("seq").alias("_seq"), "is_benign")
+    scored = scorer.gated(scored.join(shape, F.col("seq") == F.col("_seq"), "left"), F.col("is_benign"), cfg)
     most = F.lit(2 * cfg.high).cast("long")
     traps = routed.where("route = 'honeypot'").withColumns({"best": most, "final": most, "is_high": F.lit(True), "high_confidence": F.lit(True), "honeypot": F.lit(True)})
     return scored.select(*RESULT).unionByName(traps.select(*RESULT))

@@ -14,12 +14,25 @@ COUNTERS = (
 )
 
 
-def route(cfg: DetectorConfig = DetectorConfig(), edge: Column | None = None) -> Column:
+def cleaned(events: DataFrame) -> DataFrame:
+    """The events with `path` as F6 leaves it, and `_asked`: the raw path with its query decoded (text), and whether it climbs.
+
+    All that scores a path looks at the cleaned one, so that encoding, parent steps and doubled slashes give one path; only
+    danger patterns and climbing look at what was asked for. Events that are cleaned already stay as they are.
+    """
+    if "_asked" in events.columns:
+        return events
+    look = events.withColumn("_asked", decoding.looked_at(F.col("path")))
+    return look.withColumns({"path": F.col("_asked.path"), "_asked": F.struct("_asked.text", "_asked.traversal")})
+
+
+def route(cfg: DetectorConfig = DetectorConfig(), edge: Column | None = None, clean: bool = False) -> Column:
     """G1-G4 in the reference order: whitelisted, disabled, loopback (by the client's or the edge's address), honeypot, skipped, scored.
 
-    Paths are matched as F6 leaves them, so that encoding and parent steps neither hide a trap nor reach an open path.
+    Paths are matched as F6 leaves them, so that encoding and parent steps neither hide a trap nor reach an open path;
+    `clean` says that they are so already.
     """
-    ip, path = F.col("source_ip"), decoding.routed_path(F.col("path"))
+    ip, path = F.col("source_ip"), F.col("path") if clean else decoding.looked_at(F.col("path"))["path"]
     v6 = [w for w in cfg.whitelist if "/" in w and ":" in w]
     white = S.any_of([S.in_cidr(ip, w) if "/" in w else ip == w for w in cfg.whitelist if w not in v6])
     white = white | decoding.in_networks(v6)(ip) if v6 else white
@@ -37,13 +50,14 @@ def route(cfg: DetectorConfig = DetectorConfig(), edge: Column | None = None) ->
 def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """The events with the sixteen counters (0 or 1; danger may be more) of W1.
 
-    Danger patterns are looked up in the fully decoded path (F4), climbing is F5.
+    The path comes out cleaned (F6). Danger patterns are looked up in the fully decoded path with its query (F4), climbing is F5.
     Uses columns body_hits, xxe and upload if there are any. XXE counts twice, as a pattern and as itself.
     """
+    events = cleaned(events)
     has = set(events.columns)
     one = lambda c: F.when(c, 1).otherwise(0).cast("long")
     path, ua, status = F.col("path"), F.col("user_agent"), F.col("status")
-    danger = S.contains_any(F.lower("_seen.text"), cfg.patterns)
+    danger = S.contains_any(F.lower("_asked.text"), cfg.patterns)
     extra = [F.col(c).cast("long") for c in ("body_hits", "xxe") if c in has]
     danger_n = sum(extra, one(danger) + one(S.is_malformed(F.col("method"), path)))
     auth = (F.col("source") == "linux_auth") & S.is_auth_failure(F.col("auth_action")) if "auth_action" in has else F.lit(False)
@@ -55,7 +69,7 @@ def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> Dat
         "c5xx": one(status.between(500, 599)),
         "auth_fail": one(auth),
         "sens": one((status >= 400) & S.hit_sensitive_path(path, cfg.sensitive_paths)),
-        "trav": one(F.col("_seen.traversal")),
+        "trav": one(F.col("_asked.traversal")),
         "danger": danger_n,
         "bot": one(S.is_bot_agent(ua, cfg.known_clients, cfg.bot_agents)),
         "browser": one(S.is_browser_agent(ua, cfg.known_clients, cfg.bot_agents, cfg.browser_agents)),
@@ -65,4 +79,4 @@ def indicators(events: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> Dat
         "head": one(F.upper("method") == "HEAD"),
         "upload": one(F.col("upload")) if "upload" in has else F.lit(0).cast("long"),
     }
-    return events.withColumn("_seen", decoding.seen_path(path)).withColumns(new).drop("_seen")
+    return events.withColumns(new).drop("_asked")

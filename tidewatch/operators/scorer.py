@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DetectorConfig
+from ..functions import decoding
 from ..functions import scalars as S
 from .baseline import DIMS, Preload, guard_qps, sensitivity, thresholds
 from .indicators import COUNTERS
@@ -110,14 +111,19 @@ def score(df: DataFrame, base: Mapping, cfg: DetectorConfig = DetectorConfig(),
     df = _best(df, base, cfg)
     each = lambda n: [F.col(f"{n}_{w}") for w in cfg.windows]
     final = F.least(F.lit(cfg.high), F.col("best") + (F.coalesce(idor, F.lit(0)) if idor is not None else F.lit(0)))
-    if benign is not None:
-        trusted = S.any_of([S.in_cidr(F.col("source_ip"), n) for n in cfg.trusted_subnets])
-        final = F.when((final >= cfg.high) & F.coalesce(benign, F.lit(False)) & ~trusted, cfg.medium).otherwise(final)
     sure = S.any_of([(F.col(f"danger_{w}") >= 2) | (F.col(f"s_dmethod_{w}") > 0) | (F.col(f"s_upload_{w}") > 0) | ((F.col(f"s_bot_{w}") > 0) & ~F.col(f"legit_{w}")) for w in cfg.windows])
-    return df.withColumns({
+    df = df.withColumns({
         "final": final.cast("long"), "is_high": final >= cfg.high, "high_confidence": sure,
         "freq": F.least(F.greatest(*each("freq")), F.lit(cfg.high)).cast("long"), "detect": F.col("best"),
     })
+    return df if benign is None else gated(df, benign, cfg)
+
+
+def gated(df: DataFrame, benign: Column, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """High scores of events whose address behaves well fall to medium, but for trusted IPv4 and IPv6 networks."""
+    trusted = decoding.in_networks(cfg.trusted_subnets)(F.col("source_ip")) if any(":" in n for n in cfg.trusted_subnets) else S.any_of([S.in_cidr(F.col("source_ip"), n) for n in cfg.trusted_subnets])
+    final = F.when((F.col("final") >= cfg.high) & F.coalesce(benign, F.lit(False)) & ~trusted, cfg.medium).otherwise(F.col("final"))
+    return df.withColumns({"final": final.cast("long"), "is_high": final >= cfg.high})
 
 
 def recent_scores(events: DataFrame, now: Column, base: Mapping, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

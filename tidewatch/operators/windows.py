@@ -46,21 +46,28 @@ def trailing_counters(events: DataFrame, sizes: Sequence[int] = (10, 30, 60), co
     return wide.withColumns(sums).where("_own").drop("_chunk", "_own")
 
 
+def trailing_distinct(rows: DataFrame, key: str, kinds: dict[str, Column], value: Column, sizes: Sequence[int]) -> DataFrame:
+    """Add NAME_W for each kind and size: the distinct `value` of the key's rows of that kind in (ts - W, ts] up to this row.
+
+    A value enters a window with a row that finds no equal one in the W seconds before it, and leaves it W seconds after
+    a row that no equal one follows within W seconds. So a count is a running sum of entries less one of exits: two sorts
+    of one exchange, and no list however fast a key is. Kinds must exclude each other; rows of no kind count nothing.
+    """
+    kind = F.coalesce(*[F.when(c, F.lit(n)) for n, c in kinds.items()])
+    wide = chunked(rows, max(sizes)).withColumns({"_kind": kind, "_value": F.when(kind.isNotNull(), value)}).repartition(key, "_chunk")
+    same = Window.partitionBy(key, "_chunk", "_kind", "_value").orderBy("ts", "seq")
+    wide = wide.withColumns({"_past": F.col("ts") - F.lag("ts").over(same), "_next": F.lead("ts").over(same) - F.col("ts")})
+    _, so_far, before = _frames(key)
+    one = lambda gap, w, n: F.when((F.col("_kind") == n) & (F.coalesce(F.col(gap), F.lit(w)) >= w), 1).otherwise(0)
+    sums = {f"{n}_{w}": (F.sum(one("_past", w, n)).over(so_far) - F.coalesce(F.sum(one("_next", w, n)).over(before(w)), F.lit(0))).cast("long") for w in sizes for n in kinds}
+    return wide.withColumns(sums).where("_own").drop("_chunk", "_own", "_kind", "_value", "_past", "_next")
+
+
 def distinct_bases(events: DataFrame, sizes: Sequence[int] = (10, 30, 60)) -> DataFrame:
     """Distinct normalised paths of 404s (d404_W) and of other 4xx but 499 (d4xx_W) in the trailing windows."""
-    span = max(sizes)
     status = F.col("status")
-    kind = F.when(status == 404, 0).when(status.between(400, 498), 1)
-    rows = chunked(events, span).withColumn("_x", F.when(kind.isNotNull(), F.struct("ts", "seq", kind.alias("kind"), S.normalize_404_path(F.col("path")).alias("base"))))
-    frame = Window.partitionBy("source_ip", "_chunk").orderBy("ts").rangeBetween(-(span - 1), Window.currentRow)
-    seen = rows.withColumn("_l", F.filter(F.collect_list("_x").over(frame), lambda x: (x["ts"] < F.col("ts")) | (x["seq"] <= F.col("seq"))))
-
-    def distinct(k: int, w: int) -> Column:
-        inside = F.filter("_l", lambda x: (x["kind"] == k) & (x["ts"] > F.col("ts") - w))
-        return F.size(F.array_distinct(F.transform(inside, lambda x: x["base"]))).cast("long")
-
-    cols = {f"d{n}_{w}": distinct(k, w) for w in sizes for k, n in ((0, "404"), (1, "4xx"))}
-    return seen.where("_own").withColumns(cols).drop("_chunk", "_own", "_x", "_l")
+    kinds = {"d404": status == 404, "d4xx": status.between(400, 498) & (status != 404)}
+    return trailing_distinct(events, "source_ip", kinds, S.normalize_404_path(F.col("path")), sizes)
 
 
 def window_counters(events: DataFrame, sizes: Sequence[int] = (10, 30, 60)) -> DataFrame:
@@ -102,15 +109,11 @@ def snapshots(events: DataFrame, size: int = 60, every: int = 10, counters: Sequ
 
 def port_scans(ports: DataFrame, limits: Sequence[tuple[int, int]] = ((5, 5), (30, 15), (120, 40)), weight: int = 30) -> DataFrame:
     """The first event of each address at which some window holds more distinct ports than its limit."""
-    span = max(w for w, _ in limits)
-    rows = chunked(ports, span)
-    frame = Window.partitionBy("src_ip", "_chunk").orderBy("ts").rangeBetween(-(span - 1), Window.currentRow)
-    seen = rows.withColumn("_l", F.filter(F.collect_list(F.struct("ts", "seq", "dst_port")).over(frame), lambda x: (x["ts"] < F.col("ts")) | (x["seq"] <= F.col("seq"))))
-    count = lambda w: F.size(F.array_distinct(F.transform(F.filter("_l", lambda x: x["ts"] > F.col("ts") - w), lambda x: x["dst_port"])))
-    counts = {f"ports_{w}": count(w).cast("long") for w, _ in limits}
+    counts = [f"ports_{w}" for w, _ in limits]
+    seen = trailing_distinct(ports, "src_ip", {"ports": F.lit(True)}, F.col("dst_port"), [w for w, _ in limits])
     breach = S.any_of([F.col(f"ports_{w}") > most for w, most in limits])
     first = F.min(F.struct("ts", "seq", "dst_port", *counts)).alias("f")
-    return seen.where("_own").withColumns(counts).where(breach).groupBy("src_ip").agg(first).select("src_ip", "f.*", F.lit(weight).cast("long").alias("score"))
+    return seen.where(breach).groupBy("src_ip").agg(first).select("src_ip", "f.*", F.lit(weight).cast("long").alias("score"))
 
 
 def buckets(events: DataFrame, size: int = 300) -> DataFrame:
@@ -141,22 +144,47 @@ def latest(events: DataFrame, keep: int = 512) -> DataFrame:
 def ema(events: DataFrame, size: int = 10, decay: float = 0.95) -> DataFrame:
     """Seen and the moving average of (events of this second so far) / size, over one idle session.
 
-    Rows stream once through partitions sorted by (address, session), so a session of any length is never gathered.
+    A step of the average is an affine map, and so is a chunk of them: decay to the power of its rows, and what the chunk
+    adds when it starts from nothing. These two numbers per (address, session, chunk) are a small table; running through
+    it gives where each chunk starts. Then chunks stream apart from each other through sorted partitions, so an address
+    that never idles is as many pieces as hours.
     """
-    rows = sessions(events).repartition("source_ip", "session").sortWithinPartitions("source_ip", "session", "ts", "seq")
-    schema = StructType([*rows.schema.fields, StructField("seen", LongType()), StructField("ema", DoubleType())])
+    key = ["source_ip", "session", "_c"]
+    rows = sessions(events).withColumn("_c", F.floor(F.col("ts") / CHUNK))
+    second, rest = Window.partitionBy(*key, "ts").orderBy("seq"), Window.partitionBy(*key).orderBy(F.desc("ts"), F.desc("seq"))
+    steps = rows.select(*key, F.row_number().over(second).alias("n"), (F.row_number().over(rest) - 1).alias("after"))
+    chunks = steps.groupBy(*key).agg(F.count("*").alias("rows"), F.sum((1 - decay) * F.col("n") / size * F.pow(F.lit(decay), F.col("after"))).alias("adds"))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen, e = None, 0, 0.0
+        for batch in batches:
+            out = []
+            for ip, session, n, adds in zip(*(batch.column(c).to_pylist() for c in ("source_ip", "session", "rows", "adds"))):
+                if (ip, session) != key:
+                    key, seen, e = (ip, session), 0, 0.0
+                out.append((seen, e))
+                seen, e = seen + n, e * decay**n + adds
+            before, start = zip(*out) if out else ((), ())
+            yield pa.record_batch([*(batch.column(c) for c in ("source_ip", "session", "_c")), pa.array(before, pa.int64()), pa.array(start, pa.float64())], names=["_ip", "_session", "_chunk", "_before", "_start"])
+
+    dealt = chunks.repartition("source_ip", "session").sortWithinPartitions("source_ip", "session", "_c")
+    starts = dealt.mapInArrow(carry, "_ip string, _session long, _chunk long, _before long, _start double")
+    on = F.col("source_ip").eqNullSafe(F.col("_ip")) & (F.col("session") == F.col("_session")) & F.col("_c").eqNullSafe(F.col("_chunk"))
+    begun = rows.join(starts, on, "left").drop("_ip", "_session", "_chunk").repartition(*key).sortWithinPartitions(*key, "ts", "seq")
+    kept = [f for f in begun.schema.fields if f.name not in ("_c", "_before", "_start")]
+    schema = StructType([*kept, StructField("seen", LongType()), StructField("ema", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, second, n, seen, e = None, None, 0, 0, 0.0
         for batch in batches:
             counts, means = [], []
-            for ip, session, ts in zip(*(batch.column(c).to_pylist() for c in ("source_ip", "session", "ts"))):
-                if (ip, session) != key:
-                    key, second, n, seen, e = (ip, session), None, 0, 0, 0.0
+            for ip, session, chunk, ts, before, start in zip(*(batch.column(c).to_pylist() for c in ("source_ip", "session", "_c", "ts", "_before", "_start"))):
+                if (ip, session, chunk) != key:
+                    key, second, n, seen, e = (ip, session, chunk), None, 0, before, start
                 n = n + 1 if ts == second else 1
                 second, seen, e = ts, seen + 1, decay * e + (1 - decay) * n / size
                 counts.append(seen)
                 means.append(e)
-            yield pa.record_batch([*batch.columns, pa.array(counts, pa.int64()), pa.array(means, pa.float64())], names=[*batch.schema.names, "seen", "ema"])
+            yield pa.record_batch([*(batch.column(f.name) for f in kept), pa.array(counts, pa.int64()), pa.array(means, pa.float64())], names=[*(f.name for f in kept), "seen", "ema"])
 
-    return rows.mapInArrow(run, schema)
+    return begun.mapInArrow(run, schema)
