@@ -29,7 +29,7 @@ ACCESS = f"""access as (select event_id as seq, cast({EPOCH} + floor(event_id /
   case when {U} < 10 then 'nginx_access' when {U} < 13 then 'apache_access' else 'tomcat_access' end as source,
   case when event_type in ('click', 'view') then 'GET' when event_type in ('signup', 'purchase') then 'POST'
     else case when event_id % 3 = 0 then 'HEAD' when event_id % 3 = 1 then 'DELETE' else 'GET' end end as method,
-  list_extract({array(PATHS)}, cast(case when {U} < 10 then event_id % 8 else event_id % 16 end as bigint) + 1) as path,
+  list_extract({array(PATHS)}, cast(case when {U} < 10 then event_id % 8 else event_id % 24 end as bigint) + 1) as path,
   cast(case when event_type <> 'error' then case when event_id % 10 = 0 then 302 else 200 end
     else case event_id % 6 when 0 then 404 when 1 then 404 when 2 then 401 when 3 then 403 when 4 then 500 else 499 end end as int) as status,
   cast(floor(value * 100) as bigint) as bytes_sent,
@@ -43,7 +43,21 @@ BASE = f"concat('/', array_to_string(list_slice(list_transform({PART}, lambda s:
 SENS = f"""({any_like(f'lower({BARE})', [k for k in features.SENSITIVE_PATHS if '/' in k])}
   or list_has_any(string_split(lower({BARE}), '/'), {array([k for k in features.SENSITIVE_PATHS if '/' not in k])}))"""
 STATIC = any_end(f"lower({BARE})", features.STATIC_EXTENSIONS)
-DECODED = "lower(replace(url_decode(path), '+', ' '))"
+# What decoding and cleaning make of the paths of the view that need more than one step, written out.
+SEEN = {
+    "/%252e%252e%252fetc/passwd": "/../etc/passwd", "/search?q=&#60;script&#62;": "/search?q=<script>", "/search?q=%5Cu003cscript%5Cu003e": "/search?q=<script>", "/cgi\\x2fbin": "/cgi/bin",
+}
+CLEANED = {
+    "/%61dmin/login": "/admin/login", "/%252e%252e%252fetc/passwd": "/etc/passwd", "/a/./b//c": "/a/b/c", "/cgi\\x2fbin": "/cgi/bin", "//wp-admin/./": "/wp-admin/", "/files/../../etc/shadow": "/etc/shadow",
+}
+
+
+def mapped(column: str, known: dict[str, str], else_: str) -> str:
+    return f"case {column} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in known.items()) + f" else {else_} end"
+
+
+DECODED = "lower(" + mapped("{0}", SEEN, "replace(url_decode({0}), '+', ' ')") + ")"
+CLEAN = "clean as (select * replace (" + mapped("path", CLEANED, BARE) + " as path), path as raw from access)"
 BOT = f"(not {any_like('lower(user_agent)', features.KNOWN_CLIENTS)} and {any_like('lower(user_agent)', features.BOT_AGENTS)})"
 BROWSER = f"""(user_agent not in ('', '-') and not {any_like('lower(user_agent)', features.BOT_AGENTS)} and not {any_like('lower(user_agent)', features.KNOWN_CLIENTS)}
   and ((contains(lower(user_agent), 'safari/') and not contains(lower(user_agent), 'chrome/')) or (contains(lower(user_agent), 'trident/') and contains(lower(user_agent), 'rv:'))
@@ -51,11 +65,12 @@ BROWSER = f"""(user_agent not in ('', '-') and not {any_like('lower(user_agent)'
 IND = {
     "total": "true", "c404": "status = 404", "c401": "status = 401", "c4xx": "status between 400 and 499 and status not in (404, 499)",
     "c5xx": "status between 500 and 599", "auth_fail": "false", "sens": f"status >= 400 and {SENS}",
-    "trav": f"regexp_matches({DECODED}, '(^|[/\\\\])\\.\\.([/\\\\]|$)') or contains({DECODED}, '%2e%2e')",
-    "danger": any_like(DECODED, features.DANGEROUS_PATTERNS), "bot": BOT, "browser": BROWSER, "empty_ref": "referer in ('', '-')", "static": STATIC,
+    "trav": f"regexp_matches({DECODED.format('raw')}, '(^|[/\\\\])\\.\\.([/\\\\]|$)') or contains({DECODED.format('raw')}, '%2e%2e')",
+    "danger": any_like(DECODED.format("raw"), features.DANGEROUS_PATTERNS), "bot": BOT, "browser": BROWSER, "empty_ref": "referer in ('', '-')", "static": STATIC,
     "dmethod": f"upper(method) in ({', '.join(map(q, features.DANGEROUS_METHODS))})", "head": "upper(method) = 'HEAD'", "upload": "false",
 }
-INDICATED = f"{ACCESS}, ind as (select *, " + ", ".join(f"cast(case when {c} then 1 else 0 end as bigint) as {n}" for n, c in IND.items()) + " from access)"
+CLEAN_ACCESS = f"{ACCESS}, {CLEAN}"
+INDICATED = f"{CLEAN_ACCESS}, ind as (select *, " + ", ".join(f"cast(case when {c} then 1 else 0 end as bigint) as {n}" for n, c in IND.items()) + " from clean)"
 ACCESS_PATHS = f"{ACCESS}, paths as (select distinct path from (select path from access union all select regexp_replace(url, '^[a-z]+://[^/]+', '') from pages))"
 IPN = "list_reduce(list_transform(string_split({0}, '.'), lambda x: cast(x as bigint)), lambda a, b: a * 256 + b)"
 
@@ -69,7 +84,7 @@ def counters(w: int) -> str:
 def distinct_bases() -> str:
     one = lambda n, c, w: f"count(distinct case when b.ts > a.ts - {w} and {c} then b.base end) as d{n}_{w}"
     cols = ", ".join(one(n, c, w) for w in (10, 30, 60) for n, c in (("404", "b.status = 404"), ("4xx", "b.status between 400 and 498 and b.status <> 404")))
-    return f"with {ACCESS}, x as (select *, {BASE} as base from access) select a.seq, {cols} from x a join x b on a.source_ip = b.source_ip and b.ts > a.ts - 60 and b.ts <= a.ts and b.seq <= a.seq group by a.seq"
+    return f"with {CLEAN_ACCESS}, x as (select *, {BASE} as base from clean) select a.seq, {cols} from x a join x b on a.source_ip = b.source_ip and b.ts > a.ts - 60 and b.ts <= a.ts and b.seq <= a.seq group by a.seq"
 
 
 TICKS = f"""{INDICATED}, tick as (select unnest(range(cast(ceil(ts / 10.0) * 10 as bigint), ts + 60, 10)) as tick, * from ind),
@@ -83,9 +98,31 @@ PCT = f"{AT.format('n / 2.0')} as p50, {AT.format('n * 0.95::double')} as p95, {
 SUM = "cast(sum({0}) as bigint)"
 LINE_TIME = "strftime(make_timestamp(ts * 1000000), '%d/%b/%Y:%H:%M:%S')"
 PARSED = "seq, ts, true as ts_parse_ok, '{0}' as source, source_ip, method, path, status, bytes_sent, referer, user_agent, {1} as edge_ip, {2} as client_ip_from"
-RING = f"{ACCESS}, ring as (select * exclude (n), row_number() over (partition by source_ip order by ts, seq) as pos from (select *, row_number() over (partition by source_ip order by ts desc, seq desc) as n from access) where n <= 512)"
+RING = f"{CLEAN_ACCESS}, ring as (select * exclude (n), row_number() over (partition by source_ip order by ts, seq) as pos from (select *, row_number() over (partition by source_ip order by ts desc, seq desc) as n from clean) where n <= 512)"
 JUDGED = f"{INDICATED}, j as (select *, cast(sens * 30 + danger * 20 + bot * 10 + c4xx * 5 as bigint) as final, sens * 30 + danger * 20 + bot * 10 + c4xx * 5 >= 50 as is_high from ind)"
 SEG = f"case when regexp_extract({BARE}, '^/*([^/]+)', 1) = '' then '/' else regexp_extract({BARE}, '^/*([^/]+)', 1) end"
+PROBE = "'(?i)^/(favicon\\.ico|robots\\.txt|sitemap\\.xml|crossdomain\\.xml|\\.well-known/.*)$'"
+FILE = "'(?i)\\.(css|js|mjs|png|jpe?g|gif|svg|ico|webp|woff2?|ttf|eot|otf|map)$'"
+
+
+def shape(which: str) -> str:
+    """C1-C8 over the last 512 events up to each event of `clean` for which the condition holds: at, ip, total, score, is_benign."""
+    return f"""{CLEAN_ACCESS}, p as (select *, {SEG} as seg, row_number() over (partition by source_ip order by ts, seq) as pos, count(*) over (partition by source_ip) as own from clean),
+      r as (select *, lag(seg) over (partition by source_ip order by pos) as before from p),
+      w as (select a.seq as ev, a.source_ip as ip, least(a.pos, 512) as total, greatest(least(a.pos, 512) // 3, 1) as k, b.pos - greatest(a.pos - 512, 0) as i, b.path, b.status, b.method, b.seg, b.before from r a join r b on a.source_ip = b.source_ip and b.pos between a.pos - 511 and a.pos where {which.format('a')}),
+      runs as (select ev, any_value(ip) as ip, max(total) as total, max(k) as k, count(*) filter (i = 1 or seg <> before) as runs, avg(case when method = 'GET' then 1.0::double else 0 end) as g, avg(case when method = 'POST' then 1.0::double else 0 end) as ps, avg(case when method not in ('GET', 'POST') then 1.0::double else 0 end) as u from w group by ev),
+      segs as (select ev, max(n) as most from (select ev, seg, count(*) as n from w group by all) group by ev),
+      paths as (select ev, path, count(*) as n, max(case when i <= k then 1 else 0 end) as early, count(*) filter (i > total - k) as late, min(status) as least from w group by ev, path),
+      nov as (select ev, count(*) as n_paths, sum(early)::double / count(*) as early, coalesce(sum(late) filter (early = 0), 0) as fresh from paths group by ev),
+      tops as (select ev, sum(n) as s, bool_or(least >= 400 and case when regexp_matches(path, {PROBE}) then n >= 10 else n >= 5 and not regexp_matches(path, {FILE}) end) as fails from (select *, row_number() over (partition by ev order by n desc, path) as rank from paths) where rank <= 5 group by ev),
+      spread as (select ev, path, sum(n) as n, coalesce(stddev_samp(n) / avg(n), 0) as cv from (select ev, path, status, count(*) as n from w group by all) group by ev, path),
+      cvs as (select ev, coalesce(round(avg(cv) filter (n >= 3), 3), 0.0) as cv from spread group by ev),
+      parts as (select *, fresh::double / k as late, s::double / total as cover, (g between 0.5 and 0.99 and ps between 0.01 and 0.49 and u < 0.05) or (g >= 0.8 and u < 0.01) or (ps >= 0.5 and g > 0.01 and u < 0.05) as fits from runs join segs using (ev) join nov using (ev) join tops using (ev) join cvs using (ev)),
+      s as (select ev, ip, total, cast(case when total::double / runs >= 3 or most::double / total >= 0.5 then 2 else 0 end + case when early >= 0.7 and late <= 0.4 then 2 else 0 end + case when cover >= 0.25 then 2 else 0 end + case when cv < 0.6 then 1 else 0 end + case when fits then 1 else 0 end
+        - case when fails then 5 else 0 end - case when fails and n_paths < 3 then 3 else 0 end - case when early < 0.5 and late > 0.7 and cover < 0.4 then 3 else 0 end as bigint) as score from parts)
+      """
+
+
 TOP = "top as (select * from (select *, row_number() over (partition by source_ip order by n desc, path) as rank from (select source_ip, path, count(*) as n, min(status) as least from ring group by all)) where rank <= 5)"
 N = "cast(split_part(ip, '.', 4) as bigint)"
 INTEL = f"intel as (select ip, 10.0 * ({N} % 11) as score, {N} * 7 % 25 as vote_count, case when {N} % 3 = 0 then 'global' when {N} % 3 = 1 then 'private' else '' end as source from (select distinct source_ip as ip from access))"
@@ -121,7 +158,7 @@ ORACLES = {
     "path_route": f"with {ACCESS} select case when lower({BARE}) in ('/favicon.ico', '/favicon.png', '/robots.txt') or starts_with(lower({BARE}), '/.well-known/') then 'skipped' else 'scored' end as route, count(*) as n from access group by 1",
     "bot_ua": f"with {ACCESS} select user_agent, count(*) as n, {BOT} as bot, {BROWSER} as browser from access group by user_agent",
     "method_class": f"with {ACCESS} select method, count(*) as n, case method when 'GET' then 'G' when 'POST' then 'P' when 'DELETE' then 'D' when 'HEAD' then 'H' else 'X' end as code, method = 'DELETE' as dangerous, false as malformed from access group by method",
-    "danger_patterns": f"with {ACCESS_PATHS}, x as (select path, list_sort(list_filter({array(features.DANGEROUS_PATTERNS)}, lambda p: contains({DECODED}, p))) as l from paths) select path, len(l) as n, array_to_string(l, ',') as hits from x",
+    "danger_patterns": f"with {ACCESS_PATHS}, x as (select path, list_sort(list_filter({array(features.DANGEROUS_PATTERNS)}, lambda p: contains({DECODED.format('path')}, p))) as l from paths) select path, len(l) as n, array_to_string(l, ',') as hits from x",
     "upload_check": f"""with {ACCESS_PATHS}, x as (select path, list_last(string_split({BARE}, '/')) as f from paths), y as (select distinct path, unnest([f, concat(f, '.php'), concat(f, '.jpg.PHP'), concat(f, '.jsp.png')]) as file_name from x)
       select path, file_name, {any_end('lower(trim(file_name))', features.BLOCKED_EXTENSIONS)} or {any_end('lower(trim(file_name))', [b + i for b in features.BLOCKED_EXTENSIONS for i in features.IMAGE_EXTENSIONS])} as blocked from y""",
     "ip_predicates": f"with {ACCESS} select source_ip, count(*) as n, {IPN.format('source_ip')} as number, false as private, false as loopback, split_part(source_ip, '.', 4)::int < 8 as in_net, concat(source_ip, '/32') as cidr from access group by source_ip",
@@ -129,7 +166,7 @@ ORACLES = {
     "win_counters_10": counters(10), "win_counters_30": counters(30), "win_counters_60": counters(60),
     "distinct_bases": distinct_bases(),
     "ip_snapshot_ticks": f"with {TICKS} select tick, source_ip, {', '.join(IND)} from snap",
-    "idle_sessions": f"""with {ACCESS}, x as (select *, case when ts - lag(ts) over (partition by source_ip order by ts, seq) >= 300 then 1 else 0 end as new from access where status = 500),
+    "idle_sessions": f"""with {ACCESS}, x as (select *, case when ts - lag(ts) over (partition by source_ip order by ts, seq) >= 5 then 1 else 0 end as new from access),
       y as (select *, sum(new) over (partition by source_ip order by ts, seq rows unbounded preceding) as session from x) select source_ip, cast(session as bigint) as session, min(ts) as first, max(ts) as last, count(*) as n from y group by source_ip, session""",
     "port_scan": f"""with {ACCESS}, p as (select seq, source_ip as src_ip, cast(1 + seq * 7919 % 60 as int) as dst_port, ts from access),
       c as (select a.src_ip, a.ts, a.seq, a.dst_port, count(distinct case when b.ts > a.ts - 5 then b.dst_port end) as ports_5, count(distinct case when b.ts > a.ts - 30 then b.dst_port end) as ports_30, count(distinct b.dst_port) as ports_120
@@ -158,6 +195,8 @@ ORACLES = {
       select source_ip, round(g, 6) as get, round(p, 6) as post, round(u, 6) as unusual, (g between 0.5 and 0.99 and p between 0.01 and 0.49 and u < 0.05) or (g >= 0.8 and u < 0.01) or (p >= 0.5 and g > 0.01 and u < 0.05) as method_ok from s""",
     "always_error": f"""with {RING}, {TOP} select source_ip, bool_or((regexp_matches({BARE}, '(?i)^/(favicon\\.ico|robots\\.txt|sitemap\\.xml|crossdomain\\.xml|\\.well-known/.*)$') and n >= 10 and least >= 400)
       or (not regexp_matches({BARE}, '(?i)^/(favicon\\.ico|robots\\.txt|sitemap\\.xml|crossdomain\\.xml|\\.well-known/.*)$') and not regexp_matches({BARE}, '(?i)\\.(css|js|mjs|png|jpe?g|gif|svg|ico|webp|woff2?|ttf|eot|otf|map)$') and n >= 5 and least >= 400)) as always_error from top group by source_ip""",
+    "consistency_score": f"with {shape('{0}.pos = {0}.own')} select ip as source_ip, total, total >= 20 as has_samples, score, total >= 20 and score >= 4 as is_benign from s",
+    "shape_as_of": f"with {shape('true')} select ev as seq, total, score, total >= 20 and score >= 4 as is_benign from s",
     "decide_all": f"with {DECIDED} select ip, cast(vote_count as int) as vote_count, cloud_score, cloud_confidence, effective_cloud, local_freq, detector, final_score, fast_path, case when final_score >= 80 then 'block' when final_score >= 50 then 'alert' else 'ignore' end as action from res",
     "score_range": f"with {DECIDED} select min(final_score) as least, max(final_score) as most from res",
     "consensus_fast_path": f"""with {ACCESS}, {INTEL}, x as (select ip, vote_count + 10 as vote_count, source from intel), y as (select *, {CONF} as conf, source = 'global' and vote_count >= 20 as fast_path from x),

@@ -30,6 +30,10 @@ def _indicated(spark, d):
     return indicators.indicators(src.access(spark, d))
 
 
+def _clean(spark, d):
+    return indicators.cleaned(src.access(spark, d)).drop("_asked")
+
+
 def _now(df: DataFrame) -> int:
     return int(df.agg(F.max("ts")).first()[0] or 0)
 
@@ -228,7 +232,7 @@ def win_counters_60(spark, d):
 
 @query
 def distinct_bases(spark, d):
-    return windows.distinct_bases(src.access(spark, d)).select("seq", "d404_10", "d4xx_10", "d404_30", "d4xx_30", "d404_60", "d4xx_60")
+    return windows.distinct_bases(_clean(spark, d)).select("seq", "d404_10", "d4xx_10", "d404_30", "d4xx_30", "d404_60", "d4xx_60")
 
 
 @query
@@ -238,8 +242,8 @@ def ip_snapshot_ticks(spark, d):
 
 @query
 def idle_sessions(spark, d):
-    """Sessions of the failed requests, which leave gaps: start, end and events."""
-    s = windows.sessions(src.access(spark, d).where("status = 500"), idle=300)
+    """Sessions of all requests between gaps of five seconds: start, end and events."""
+    s = windows.sessions(src.access(spark, d), idle=5)
     return s.groupBy("source_ip", "session").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
 
 
@@ -255,7 +259,7 @@ def buckets_5m(spark, d):
 
 @query
 def ring512(spark, d):
-    return windows.latest(src.access(spark, d)).select("source_ip", "pos", "seq", "path", "status")
+    return windows.latest(_clean(spark, d)).select("source_ip", "pos", "seq", "path", "status")
 
 
 @query
@@ -335,13 +339,11 @@ def ip_diversity(spark, d):
 # Scores (2.7)
 
 
-def _scored(spark, d, benign=None):
-    a = _indicated(spark, d).where(indicators.route() == "scored")
+def _scored(spark, d):
+    a = _indicated(spark, d).where(indicators.route(clean=True) == "scored")
     learnt = baseline.preload(windows.buckets(src.access(spark, d)))
     wide = windows.ema(windows.window_counters(a))
-    if benign is not None:
-        wide = wide.join(benign, "source_ip", "left")
-    return scorer.score(written(wide), scorer.literals(learnt), benign=None if benign is None else F.col("is_benign"))
+    return scorer.score(written(wide), scorer.literals(learnt))
 
 
 @query
@@ -356,9 +358,10 @@ def local_scores(spark, d):
 
 @query
 def gated_scores(spark, d):
-    """The consistency gate: high scores of benign addresses fall to medium."""
-    shape = consistency.consistency(src.access(spark, d)).select("source_ip", "is_benign")
-    return _scored(spark, d, shape).select("seq", F.least("best", F.lit(50)).alias("final"), F.col("final").alias("gated"))
+    """The consistency gate: high scores of addresses that are benign as of the event fall to medium."""
+    e = written(_scored(spark, d).select("seq", "ts", "source_ip", "path", "status", "method", "final", "is_high", F.col("final").alias("raw")))
+    shape = consistency.as_of(e, asked=F.col("is_high"))
+    return scorer.gated(e.join(shape.select("seq", "is_benign"), "seq", "left"), F.col("is_benign")).select("seq", "raw", F.col("final").alias("gated"))
 
 
 @query
@@ -384,7 +387,7 @@ def score_log(spark, d):
 
 
 def _ring(spark, d):
-    return windows.latest(src.access(spark, d))
+    return windows.latest(_clean(spark, d))
 
 
 @query
@@ -419,7 +422,13 @@ def always_error(spark, d):
 
 @query
 def consistency_score(spark, d):
-    return consistency.consistency(src.access(spark, d)).select("source_ip", "total", "has_samples", "score", "is_benign")
+    return consistency.consistency(_clean(spark, d)).select("source_ip", "total", "has_samples", "score", "is_benign")
+
+
+@query
+def shape_as_of(spark, d):
+    """The verdict on an address as of each of its events."""
+    return consistency.as_of(_clean(spark, d))
 
 
 # Decisions and state (2.9)

@@ -14,6 +14,7 @@ EPOCH = 1704067200
 PATHS = [
     "/", "/index.html", "/static/app.js", "/static/site.css", "/api/v1/orders/12345", "/api/v1/users/7", "/login", "/favicon.ico",
     "/.env", "/admin/login", "/wp-admin", "/phpmyadmin/", "/etc/passwd", "/api/search?q=union%20select%201", "/files/../../etc/shadow", "/api/v1/orders/98765432",
+    "/%61dmin/login", "/%252e%252e%252fetc/passwd", "/a/./b//c", "/search?q=&#60;script&#62;", "/search?q=%5Cu003cscript%5Cu003e", "/shop?item=1%20union%20select%202", "/cgi\\x2fbin", "//wp-admin/./",
 ]
 AGENTS = [
     "Mozilla/5.0 (Windows NT 10.0) Chrome/120.0 Safari/537.36", "Mozilla/5.0 (X11; rv:121.0) Gecko/20100101 Firefox/121.0", "okhttp/4.9.0",
@@ -27,7 +28,7 @@ def _pick(values: list[str], index: Column) -> Column:
 
 
 def access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One web request per event, four a second, from 15 addresses: browsers, API clients and scanners."""
+    """One web request per event, four a second, from 15 addresses: browsers, API clients and scanners, some of whose paths are encoded."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
     n, u, kind = F.col("event_id"), F.col("user_id") % 15, F.col("event_type")
     odd = F.when(n % 3 == 0, "HEAD").when(n % 3 == 1, "DELETE").otherwise("GET")
@@ -38,7 +39,7 @@ def access(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("198.51.100."), (u + 1).cast("string")).alias("source_ip"),
         F.when(u < 10, "nginx_access").when(u < 13, "apache_access").otherwise("tomcat_access").alias("source"),
         F.when(kind.isin("click", "view"), "GET").when(kind.isin("signup", "purchase"), "POST").otherwise(odd).alias("method"),
-        _pick(PATHS, F.when(u < 10, n % 8).otherwise(n % 16)).alias("path"),
+        _pick(PATHS, F.when(u < 10, n % 8).otherwise(n % 24)).alias("path"),
         F.when(kind != "error", F.when(n % 10 == 0, 302).otherwise(200)).otherwise(failed).cast("int").alias("status"),
         F.floor(F.col("value") * 100).cast("long").alias("bytes_sent"),
         _pick(AGENTS, F.when(u < 6, u % 2).when(u < 10, 2 + u % 2).otherwise(4 + u % 3)).alias("user_agent"),
