@@ -32,6 +32,29 @@ def step(state: dict | None, ts: int, path: str, sure: bool, c: Confirm) -> tupl
     return new, new["count"] >= c.count
 
 
+def meet(state: dict | None, until: int | None, ts: int, path: str, sure: bool, trapped: bool, c: Confirm, ttl: int | None) -> tuple[dict | None, int | None, int | None, bool]:
+    """One event scored high or in a trap: the new observation, when the present block ends, the count if it asks for a block, and whether that is accepted.
+
+    A trap asks at once and leaves the observation as it is; an accepted block of another event clears it (X2).
+    """
+    block = trapped
+    if not trapped:
+        state, block = step(state, ts, path, sure, c)
+    if not block:
+        return state, until, None, False
+    count, accepted = state["count"] if state else 1, ttl is not None and (until is None or ts >= until)
+    if accepted:
+        until, state = ts + ttl, state if trapped else None
+    return state, until, count, accepted
+
+
+def see(seen: dict[str, int], ident: str, ts: int, window: int) -> None:
+    """Take up an id; `seen` is id -> first time, in order of time, and loses what is `window` seconds old."""
+    while seen and ts - (first := next(iter(seen.items())))[1] >= window:
+        del seen[first[0]]
+    seen.setdefault(ident, ts)
+
+
 def confirm_blocks(scored: DataFrame, c: Confirm = Confirm(), ttl: int | None = None) -> DataFrame:
     """source_ip, ts, seq, count, accepted of every event that asks for a block, from rows (source_ip, ts, seq, path, is_high, high_confidence).
 
@@ -49,14 +72,9 @@ def confirm_blocks(scored: DataFrame, c: Confirm = Confirm(), ttl: int | None =
             for ip, session, ts, seq, path, sure, trapped in zip(*(x.to_pylist() for x in b.columns)):
                 if (ip, session) != key:
                     key, state, until = (ip, session), None, None
-                block = trapped
-                if not trapped:
-                    state, block = step(state, ts, path, sure, c)
-                if block:
-                    accepted = ttl is not None and (until is None or ts >= until)
-                    out.append((ip, ts, seq, state["count"] if state else 1, accepted))
-                    if accepted:
-                        until, state = ts + ttl, state if trapped else None
+                state, until, count, accepted = meet(state, until, ts, path, sure, trapped, c, ttl)
+                if count is not None:
+                    out.append((ip, ts, seq, count, accepted))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(x, pa.int64()) for x in cols[1:4]), pa.array(cols[4], pa.bool_())], names=["source_ip", "ts", "seq", "count", "accepted"])
 
@@ -77,8 +95,7 @@ def idor(events: DataFrame, path_regex: str, id_regex: str, window: int = 60, mo
             for ip, session, ts, seq, ident in zip(*(b.column(n).to_pylist() for n in ("source_ip", "session", "ts", "seq", "id"))):
                 if (ip, session) != key:
                     key, seen = (ip, session), {}
-                seen = {i: t for i, t in seen.items() if ts - t < window} if any(ts - t >= window for t in seen.values()) else seen
-                seen.setdefault(ident, ts)
+                see(seen, ident, ts, window)
                 out.append((ip, seq, len(seen), w if len(seen) > most else 0))
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.record_batch([pa.array(cols[0], pa.string()), *(pa.array(x, pa.int64()) for x in cols[1:])], names=["source_ip", "seq", "ids", "idor"])

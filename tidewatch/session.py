@@ -22,18 +22,19 @@ def share_code(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read back, so that a long plan is optimised and worked once.
-
-    Only where that is unset and Spark runs in local mode, as in tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir. Only where that is unset and Spark runs in local mode, as in tests, a temporary folder takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidewatch-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to a fresh scratch folder and read back, so that a long plan is optimised and worked once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,16 +1,12 @@
-"""Structured Streaming twins of the batch operators."""
+"""Structured Streaming twins of the batch operators (S4, S5, S13, W6, X16-X18); those with state per key are in `stateful`, the set tables in `sets`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import Confirm
-from ..operators.confirm import step
 from ..operators.indicators import COUNTERS
 
 LATENESS = "60 seconds"
@@ -28,33 +24,6 @@ def snapshots(events: DataFrame, size: int = 60, every: int = 10, lateness: str
     return sums.select((F.unix_timestamp(F.col("w.end")) - 1).alias("tick"), "source_ip", *COUNTERS)
 
 
-def confirm_blocks(scored: DataFrame, c: Confirm = Confirm(), lateness: str = LATENESS) -> DataFrame:
-    """Block requests from a stream of scored events; an observation expires by event time.
-
-    The state of an address is four values. Within a micro-batch its events run in order of (ts, seq).
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = dict(zip(("first", "last", "count", "path"), state.get)) if state.exists else None
-        out = []
-        rows = pd.concat(batches).sort_values(["ts", "seq"])
-        for ts, seq, path, sure in rows[["ts", "seq", "path", "high_confidence"]].itertuples(index=False):
-            held, block = step(held, int(ts), path, bool(sure), c)
-            if block:
-                out.append((key[0], int(ts), int(seq), held["count"] if held else 1))
-        if held:
-            state.update((held["first"], held["last"], held["count"], held["path"]))
-            state.setTimeoutTimestamp(max((held["last"] + c.observe + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["source_ip", "ts", "seq", "count"])
-
-    return timed(scored.where("is_high"), lateness).groupBy("source_ip").applyInPandasWithState(
-        run, "source_ip string, ts long, seq long, count long", "first long, last long, count long, path string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
 def write_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], every: str | None = None):
     """Hand every micro-batch to `write(batch, id)`; without `every` all there is, then stop.
 
@@ -67,8 +36,3 @@ def write_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame
 def report_sink(path: str, most: int = 50) -> Callable[[DataFrame, int], None]:
     """Reports as JSON files of at most `most` events, one folder a batch."""
     return lambda batch, k: batch.write.mode("overwrite").option("maxRecordsPerFile", most).json(f"{path}/batch={k}")
-
-
-def block_sink(path: str, ttl: int = 3600) -> Callable[[DataFrame, int], None]:
-    """The change log of the block set, one folder a batch."""
-    return lambda batch, k: batch.groupBy("source_ip").agg(F.max("ts").alias("at")).select(F.lit("black").alias("set"), F.col("source_ip").alias("ip"), F.lit("add").alias("op"), "at", F.lit(ttl).alias("timeout")).write.mode("overwrite").parquet(f"{path}/batch={k}")
