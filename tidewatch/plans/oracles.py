@@ -214,6 +214,21 @@ ORACLES = {
       union all select distinct source_ip, 'unblock' from access where {IN_NETS.format('source_ip')}""",
     "diff_apply": f"""with {ACCESS}, {INTEL}, x as (select ip, -1 as seq, 'add' as op, score::double as score from intel union all select source_ip, seq, case when status = 404 then 'del' else 'add' end, (seq % 101)::double from access where seq > 500),
       l as (select ip, max_by(op, seq) as op, max_by(score, seq) as score from x group by ip) select ip, score from l where op = 'add'""",
+    "set_table": f"""with {ACCESS}, x as (select seq, case when seq % 3 = 0 then 'white' else 'black' end as set, source_ip as ip, case when status = 302 then 'del' else 'add' end as op, case when seq % 2 = 0 then 'cloud' else 'local' end as source, ts, seq % 7 * 1500 as s from access),
+      y as (select *, case when set = 'black' and op = 'add' then ts + case when source = 'cloud' then case when s = 0 then 7200 else least(s, 7200) end else case when s = 0 then 3600 else s end end end as e from x),
+      l as (select set, ip, arg_max(op, seq) as op, arg_max(source, seq) as source, max(seq) as seq from y group by all), n as (select max(ts) as now from access)
+      select l.set, l.ip, l.source, cast(coalesce(y.e, -1) as bigint) as expires_at from l join y using (seq), n where l.op = 'add' and (y.e is null or y.e > now + 2000)""",
+    "layered_intel": f"""with {INDICATED}, now as (select max(ts) as now from access), f as (
+        select 'global' as layer, -1 as seq, ip, 6.0 * n as score, n as votes, 'global' as source from (select distinct source_ip as ip, cast(split_part(source_ip, '.', 4) as int) as n from access)
+        union all select 'global', seq, source_ip, (seq % 101)::double, seq % 25, 'global' from access where status = 404 and seq > 400
+        union all select 'tenant', seq, source_ip, (seq * 7 % 101)::double, seq % 25, 'private' from access where status = 500 and seq > 200),
+      k as (select * from (select *, row_number() over (partition by ip order by layer desc, seq desc) as r from f) where r = 1),
+      c as (select *, {CONF.replace('vote_count', 'votes')} as conf, source = 'global' and votes >= 20 and score >= 90 as fast from k),
+      l as (select source_ip as ip, least(sum(c4xx) % 101, 100) as freq, least(sum(sens), 100) as detector, max(ts) as last_seen from ind group by 1),
+      d as (select c.*, case when fast then 80.0::double else round(score::double * conf::double * 0.4::double + coalesce(m.freq, 50)::double * 0.3::double + coalesce(m.detector, 50)::double * 0.3::double, 6) end as final_score from c left join (select l.* from l, now where last_seen >= now - 60) m using (ip)),
+      w as (select source_ip as ip, arg_max(case when seq % 2 = 0 then 'add' else 'del' end, seq) as op from access where status = 403 and seq > 200 group by 1)
+      select ip, layer, score::double as cloud_score, final_score, case when final_score >= 80 then case when ip in (select ip from w where op = 'add') then 'filtered' else 'block' end when final_score >= 50 then 'alert' else 'ignore' end as action from d
+      union all select ip, 'tenant', null, null, concat('white_', op) from w""",
     "logged_report": f"""with {JUDGED} select cast(ts // 600 * 600 as bigint) as period, count(*) as processed, count(*) filter (final >= 10) as total, count(distinct source_ip) filter (final >= 10) as ips,
         count(*) filter (final >= 10 and is_high) as high, count(*) filter (final >= 10 and not is_high) as medium from j group by 1""",
     "detector_report": f"""with {JUDGED} select cast(ts // 600 * 600 as bigint) as period, count(*) as processed, count(*) filter (final > 0) as scored, count(distinct source_ip) as ips, count(*) filter (is_high) as high, count(*) filter (final > 0 and not is_high) as medium,
@@ -235,3 +250,5 @@ ORACLES = {
     "ip_risk_report": f"""with {INDICATED}, w as (select source_ip, """ + ", ".join(f"sum({n}) over (partition by source_ip order by ts, seq rows unbounded preceding) - coalesce(sum({n}) over (partition by source_ip order by ts range between unbounded preceding and 60 preceding), 0) as {n}" for n in ("total", "c404", "c4xx", "sens", "danger", "bot")) + """ from ind)
       select source_ip, cast(max(sens * 3 + danger * 5 + bot + c4xx + c404) as bigint) as risk, cast(max(total) as bigint) as peak, count(*) as events from w group by source_ip order by risk desc, source_ip limit 10""",
 }
+ORACLES["stream_port_scan"] = ORACLES["port_scan"]
+ORACLES["stream_snapshots"] = ORACLES["ip_snapshot_ticks"]

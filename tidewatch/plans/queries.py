@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .. import config, features
 from ..functions import decoding, parsers
 from ..functions import scalars as S
-from ..operators import baseline, confirm, consistency, decision, detect, indicators, reports, scorer, windows
-from ..session import share_code, written
+from ..operators import baseline, confirm, consistency, decision, detect, indicators, layers, reports, scorer, windows
+from ..session import scratch, share_code, written
 from ..sources import access as src
+from ..streaming import processor, sets, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -520,6 +521,65 @@ def diff_apply(spark, d):
     return decision.apply_diff(base, inc, 500, True)
 
 
+@query
+def layered_intel(spark, d):
+    """Two layers of scores made from the requests, from an agent whose shared snapshot is old: that snapshot, later steps, the tenant's own over them."""
+    a = src.access(spark, d)
+    row = lambda df, layer, whole, seq, score, votes: df.select(F.lit(layer).alias("layer"), F.lit(whole).alias("whole"), seq.alias("seq"), F.col("source_ip").alias("ip"), score.cast("double").alias("score"), votes.cast("int").alias("vote_count"), F.lit("global" if layer == "global" else "private").alias("source"))
+    n, seq = F.substring_index("source_ip", ".", -1).cast("int"), F.col("seq")
+    feed = row(a.select("source_ip").distinct(), "global", True, F.lit(400).cast("long"), n * 6, n)
+    feed = feed.unionByName(row(a.where("status = 404"), "global", False, seq, seq % 101, seq % 25)).unionByName(row(a.where("status = 500"), "tenant", False, seq, seq * 7 % 101, seq % 25))
+    white = a.where("status = 403").select("seq", F.col("source_ip").alias("ip"), F.when(seq % 2 == 0, "add").otherwise("del").alias("op"))
+    return layers.applied(feed, white, _local(spark, d), F.lit(_now(a)), layers.Cursor("old", 300, 200), layers.Server("new")).select("ip", "layer", *_r("cloud_score", "final_score"), "action")
+
+
+@query
+def set_table(spark, d):
+    """The lists as a versioned table: the requests as changes in five batches, each given twice, and the members at the end."""
+    a = src.access(spark, d)
+    top = a.agg(F.max("seq")).first()[0] or 0
+    asked = a.select(F.col("seq").alias("ord"), F.when(F.col("seq") % 3 == 0, "white").otherwise("black").alias("set"), F.col("source_ip").alias("ip"), F.when(F.col("status") == 302, "del").otherwise("add").alias("op"), F.when(F.col("seq") % 2 == 0, "cloud").otherwise("local").alias("source"), F.col("ts").alias("at"), (F.col("seq") % 7 * 1500).cast("long").alias("seconds"))
+    rows = written(sets.entries(asked).withColumn("part", F.floor(F.col("ord") * 5 / F.lit(top + 1))))
+    table = sets.SetTable(spark, scratch(spark), whole_every=2)
+    for k in range(5):
+        for _ in range(2):
+            table.apply(rows.where(F.col("part") == k).drop("part"), k)
+    return table.current(F.lit(_now(a) + 2000)).withColumn("expires_at", F.coalesce("expires_at", F.lit(-1).cast("long")))
+
+
+def _streamed(rows: DataFrame, key: str, lateness: int, run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What a stream over the rows puts out: three micro-batches in order of time, then a row of no address that moves the watermark past all."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    ends = rows.agg(F.min("ts"), F.max("ts")).first()
+    third = ((ends[1] or 0) - (ends[0] or 0)) // 3 + 1
+    last = spark.range(1).select(*[F.lit(f"{key}:end").alias(c) if c == key else F.lit((ends[1] or 0) + 10 * lateness + 10**6).alias(c) if c == "ts" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    last = last.withColumn("seq", F.lit(-1).cast("long"))
+    for k in range(3):
+        rows.where(F.floor((F.col("ts") - F.lit(ends[0] or 0)) / third) == k).write.mode("append").parquet(f"{path}/in/{k}")
+    last.select(*rows.columns).write.parquet(f"{path}/in/3")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    found = run(stream, f"{lateness} seconds")
+    q = found.writeStream.option("checkpointLocation", f"{path}/place").trigger(availableNow=True).format("parquet").option("path", f"{path}/out").start()
+    q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{path}/out").where(~F.col(key).endswith(":end"))
+
+
+@query
+def stream_port_scan(spark, d):
+    """Port scans found by a stream with keyed state; files may come in any order, so the watermark waits for all of them."""
+    p = src.port_events(src.access(spark, d))
+    span = p.agg(F.max("ts") - F.min("ts")).first()[0] or 0
+    return _streamed(p, "src_ip", int(span) + 60, lambda s, late: stateful.port_scans(s, lateness=late))
+
+
+@query
+def stream_snapshots(spark, d):
+    """W6 by a stream: per tick and address the counters of the last minute."""
+    e = _indicated(spark, d).select("seq", "ts", "source_ip", *indicators.COUNTERS)
+    span = e.agg(F.max("ts") - F.min("ts")).first()[0] or 0
+    return _streamed(e, "source_ip", int(span) + 60, lambda s, late: processor.snapshots(s, lateness=late))
+
+
 @query
 def confirm_blocks(spark, d):
     """Confirmation over failed requests as high scores."""

@@ -41,6 +41,9 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.columns)
         self.names = [c.split()[0] for c in self.columns.split(", ")]
+        # pandas holds whole numbers beside nulls as doubles.
+        kinds = {"long": int, "int": int, "boolean": bool, "string": str}
+        self.kinds = [kinds[c.split()[1]] for c in self.columns.split(", ")]
         self.open(handle)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
@@ -54,7 +57,7 @@ class Ordered(StatefulProcessor):
         """Drop what has expired at `watermark` (seconds); the next second at which something will, if any."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in r) for part in rows for r in part[self.names].itertuples(index=False)]
+        new = [tuple(None if pd.isna(x) else kind(x) for kind, x in zip(self.kinds, r)) for part in rows for r in part[self.names].itertuples(index=False)]
         if new:
             self.waiting.appendList(new)
             self.handle.registerTimer(min(r[0] for r in new) * 1000)
@@ -183,6 +186,8 @@ class Scanning(_Timed):
         old = self.load()
         last = dict(old)
         for ts, seq, port in rows:
+            if port < 0:  # no port
+                continue
             last[str(port)] = ts
             counts = [sum(t > ts - w for t in last.values()) for w, _ in self.limits]
             if any(n > most for n, (_, most) in zip(counts, self.limits)):
@@ -216,4 +221,4 @@ def idor(events: DataFrame, path_regex: str, id_regex: str, window: int = 60, mo
 
 def port_scans(ports: DataFrame, limits: Sequence[tuple[int, int]] = ((5, 5), (30, 15), (120, 40)), weight: int = 30, lateness: str = LATENESS) -> DataFrame:
     """Operators.windows.port_scans over a stream of the same rows; an address is told of once, at its first breach."""
-    return _run(ports.select("src_ip", "ts", "seq", "dst_port"), "src_ip", Scanning(limits, weight), lateness)
+    return _run(ports.select("src_ip", "ts", "seq", F.coalesce("dst_port", F.lit(-1)).alias("dst_port")), "src_ip", Scanning(limits, weight), lateness)
