@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import bitmaps
 from .common import materialize, slices
 from .graph import small
-from .tokens import ChunkTable, MarkedWordEncoder, SpaceLedEncoder, encoder
+from .tokens import _MARKS, ChunkTable, MarkedWordEncoder, SpaceLedEncoder, encoder
 
 #: Entries (document and pair) after which a block of documents is closed, and of stretches a worker's table holds in each generation.
 BLOCK_ENTRIES, TABLE = 1_500_000, 120_000
@@ -56,6 +57,8 @@ class Aligner:
         byte = re.compile("<0x([0-9A-F]{2})>")
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.names = np.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], dtype=object)
         self.table = ChunkTable(self.stretch, TABLE)
 
     def align(self, a: list[int], b: list[int]) -> tuple[str, list[int]]:
@@ -89,23 +92,71 @@ class Aligner:
     def lone(self) -> list[int]:
         return [self.b.model.piece_to_id("▁")]
 
-    def __call__(self, text: str) -> tuple[int, int, str, bytes]:
-        """n_a, n_b, groups and links of a text; zeros and nothing if one side does not give its bytes back."""
-        if self.b.whole or not self.a.plain:
-            n_a, n_b, groups, links, _ = self.stretch(text)
-            return n_a, n_b, groups, links
+    def a_ids(self, rest: str) -> list[int]:
+        """A's ids of a stretch; plain words go straight to its model."""
+        if rest.isascii():
+            if rest.isalpha():
+                return [t.id for t in self.a.model.tokenize(self.a._letters[32] + rest)]
+            if rest[-1:] in _MARKS and rest[:-1].isalpha():
+                return [*self.a_ids(rest[:-1]), *np.frombuffer(self.a.pre[rest[-1]], "<u4").tolist()]
+        return np.frombuffer(self.a(" " + rest), "<u4").tolist()
+
+    def fill(self, rests: list[str]) -> None:
+        """Put stretches into the table, all aligned at once; those whose bytes do not come back go one by one."""
+        a = [self.a_ids(r) for r in rests]
+        b = self.b.model.encode(rests, num_threads=1) if rests else []
+        b = [x if r else self.lone() for r, x in zip(rests, b)]
+        size = [len(r.encode()) + 1 for r in rests]
+        good = [sum(self.a_size[x].tolist()) == n == sum(self.b_size[y].tolist()) for x, y, n in zip(a, b, size)]
+        for r in (r for r, g in zip(rests, good) if not g):
+            self.table[r]
+        rests, a, b, size = ([x for x, g in zip(side, good) if g] for side in (rests, a, b, size))
+        if not rests:
+            return
+        fa, fb = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
+        raw = b"".join([b" " + r.encode() for r in rests])
+        if any(b"".join([known[i] for i in f.tolist()]) != raw for known, f in ((self.a_bytes, fa), (self.b_bytes, fb))):
+            for r in rests:
+                self.table[r]
+            return
+        # Both sides cover the same bytes of every stretch, so offsets over all of them can be compared.
+        ends_a, ends_b, ends = np.cumsum(self.a_size[fa]), np.cumsum(self.b_size[fb]), np.cumsum(size)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        links = fa[np.searchsorted(ends_a, common)] << 32 | fb[np.searchsorted(ends_b, common)]
+        of = np.searchsorted(ends, common)
+        key = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        order = np.argsort(key, kind="stable")
+        key, group = key[order], key[order] // 2
+        text = np.empty(2 * len(key) - 1, dtype=object)
+        text[::2] = self.names[np.concatenate([fa, fb])[order]]
+        text[1::2] = np.where(key[1:] == key[:-1], ",", np.where(group[1:] == group[:-1], "|", np.where(of[group[1:]] == of[group[:-1]], ";", "\n"))).astype(object)
+        groups, cuts, raw = "".join(text.tolist()).split("\n"), (8 * np.searchsorted(of, np.arange(len(rests) + 1))).tolist(), links.tobytes()
+        for r, x, y, g, i, j in zip(rests, a, b, groups, cuts, cuts[1:]):
+            self.table.put(r, (len(x), len(y), g, raw[i:j], True))
+
+    def parts(self, text: str) -> list[str]:
+        """The stretches of a text, each without the space that leads it."""
         if "  " in text or text[:1] == " " or self._white.search(text):
             parts = self._cut.split(" " + text)
             parts[0] = parts[0][1:]
-        else:
-            parts = text.split(" ")
-        found = [self.table[p] for p in parts]
-        n_a, n_b, groups, links, ok = zip(*found)
+            return parts
+        return text.split(" ")
+
+    def texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, bytes]]:
+        """n_a, n_b, groups and links of each text; zeros and nothing if one side does not give its bytes back."""
+        if self.b.whole or not self.a.plain:
+            yield from (self.stretch(t)[:4] if t else (0, 0, "", b"") for t in texts)
+            return
+        parts = [self.parts(t) if t else [] for t in texts]
+        self.fill([p for p in {p for each in parts for p in each} if p not in self.table and p not in self.table.old])
+        for t, each in zip(texts, parts):
+            yield self.joined(t, each) if t else (0, 0, "", b"")
+
+    def joined(self, text: str, parts: list[str]) -> tuple[int, int, str, bytes]:
+        n_a, n_b, groups, links, ok = zip(*map(self.table.__getitem__, parts))
         if not all(ok):
             # Stretches that differ could still add up to the text, so the whole of it decides.
-            a = np.frombuffer(self.a(" " + text), "<u4").tolist()
-            b = np.frombuffer(self.b(text), "<u4").tolist()
-            return self.whole(a, b, (" " + text).encode())[:4]
+            return self.whole(np.frombuffer(self.a(" " + text), "<u4").tolist(), self.b.model.encode(text), (" " + text).encode())[:4]
         return sum(n_a), sum(n_b), ";".join(groups), b"".join(links)
 
 
@@ -121,8 +172,7 @@ def aligned(docs: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 rows, pairs, times, sizes = [], [], [], [0]
-                for text in part.column("text").to_pylist():
-                    n_a, n_b, groups, links = align(text) if text else (0, 0, "", b"")
+                for n_a, n_b, groups, links in align.texts(part.column("text").to_pylist()):
                     codes, n = np.unique(np.frombuffer(links, np.int64), return_counts=True)
                     if at and (at == bitmaps.BLOCK or entries + len(codes) > BLOCK_ENTRIES):
                         block, at, entries = block + 1, 0, 0

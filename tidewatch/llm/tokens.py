@@ -31,11 +31,14 @@ class ChunkTable(dict):
         ids = self.old.get(chunk)
         if ids is None:
             ids = self.encode(chunk)
+        self.put(chunk, ids)
+        return ids
+
+    def put(self, chunk: str, ids: bytes) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[chunk] = ids
-        return ids
 
     def ids(self, chunks: list[str]) -> bytes:
         """The ids of consecutive chunks, joined by position."""
