@@ -33,10 +33,17 @@ from .graph import small
 from .tokens import _MARKS, ChunkTable, MarkedWordEncoder, SpaceLedEncoder, encoder
 
 #: Entries (document and pair) after which a block of documents is closed, and of stretches a worker's table holds in each generation.
-BLOCK_ENTRIES, TABLE = 1_500_000, 120_000
+BLOCK_ENTRIES, TABLE = 1_500_000, 200_000
 _LOW = 0xFFFFFFFF
 
 
+def _sums(sizes: np.ndarray, lists: list[list[int]]) -> np.ndarray:
+    """The bytes of each list of tokens."""
+    run = np.concatenate(([0], np.cumsum(sizes[np.fromiter(chain.from_iterable(lists), np.int64)])))
+    at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    return run[at[1:]] - run[at[:-1]]
+
+
 class Aligner:
     """Aligns stretches and whole texts of two tokenizers, A (byte-level) and B (marked pieces)."""
 
@@ -94,9 +101,11 @@ class Aligner:
 
     def a_ids(self, rest: str) -> list[int]:
         """A's ids of a stretch; plain words go straight to its model."""
-        if rest.isascii():
+        ascii_ = rest.isascii()
+        if ascii_ or self.a._common.fullmatch(rest):
             if rest.isalpha():
-                return [t.id for t in self.a.model.tokenize(self.a._letters[32] + rest)]
+                text = self.a._letters[32] + rest if ascii_ else (" " + rest).encode().decode("latin-1").translate(self.a._letters)
+                return [t.id for t in self.a.model.tokenize(text)]
             if rest[-1:] in _MARKS and rest[:-1].isalpha():
                 return [*self.a_ids(rest[:-1]), *np.frombuffer(self.a.pre[rest[-1]], "<u4").tolist()]
         return np.frombuffer(self.a(" " + rest), "<u4").tolist()
@@ -107,7 +116,7 @@ class Aligner:
         b = self.b.model.encode(rests, num_threads=1) if rests else []
         b = [x if r else self.lone() for r, x in zip(rests, b)]
         size = [len(r.encode()) + 1 for r in rests]
-        good = [sum(self.a_size[x].tolist()) == n == sum(self.b_size[y].tolist()) for x, y, n in zip(a, b, size)]
+        good = ((_sums(self.a_size, a) == size) & (_sums(self.b_size, b) == size)).tolist()
         for r in (r for r, g in zip(rests, good) if not g):
             self.table[r]
         rests, a, b, size = ([x for x, g in zip(side, good) if g] for side in (rests, a, b, size))
