@@ -20,6 +20,7 @@ RATES = DIMS[1:]
 MIN_QPS, FLOOR_P95, DECAY, QUICK_DECAY, WARM_UP, TICK = 1.0, 0.001, 0.8, 0.5, 1800, 10
 #: When a baseline may be used, and how far one is trusted that no preload has judged.
 READY_SAMPLES, READY_AGE, CONFIDENCE = 100, 300, 0.5
+BASELINE = "tick long, dim string, p50 double, p95 double, p99 double, n long"
 
 
 def histogram(samples: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -136,29 +137,36 @@ def _folded(dim: str, old: tuple, new: tuple, d: float) -> tuple:
     return (both[0], max(both[1], _least_qps(both[1], both[3])), both[2], both[3])
 
 
-def baselines(ticks: DataFrame, start: Column) -> DataFrame:
+def baselines(ticks: DataFrame, start: Column, before: DataFrame | None = None) -> DataFrame:
     """The baseline after each tick: tick, dim, p50, p95, p99, n. `start` is when learning began (Unix seconds).
 
     Ticks fold in order with a decay of 0.8 (0.5 in the first half hour), one pass for each dimension over its sorted
-    ticks, of which there is one in ten seconds whatever the traffic.
+    ticks, of which there is one in ten seconds whatever the traffic. `before` has the rows of the last earlier tick of each
+    dimension, which go in first and do not come out.
     """
     d = F.when(F.col("tick") - start < WARM_UP, QUICK_DECAY).otherwise(DECAY)
-    rows = ticks.select("dim", "tick", "p50", "p95", "p99", F.col("n").cast("long").alias("n"), d.alias("d"))
+    pick = lambda df, d: df.select("dim", "tick", "p50", "p95", "p99", F.col("n").cast("long").alias("n"), d.alias("d"))
+    rows = pick(ticks, d)
+    if before is not None:
+        rows = rows.unionByName(pick(before, F.lit(None).cast("double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, (0.0, 0.0, 0.0, 0)
         for batch in batches:
             out = []
-            for dim, _, p50, p95, p99, n, decay in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, tick, p50, p95, p99, n, decay in zip(*(c.to_pylist() for c in batch.columns)):
                 if dim != key:
                     key, state = dim, (0.0, 0.0, 0.0, 0)
+                if decay is None:
+                    state = (p50, p95, p99, n)
+                    continue
                 state = _folded(dim, state, (p50, p95, p99, n), decay)
-                out.append(state)
-            cols = list(zip(*out)) if out else [()] * 4
-            values = [pa.array(cols[k], pa.float64()) for k in range(3)] + [pa.array(cols[3], pa.int64())]
-            yield pa.record_batch([batch.column("tick"), batch.column("dim"), *values], names=["tick", "dim", "p50", "p95", "p99", "n"])
+                out.append((tick, dim, *state))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=names)
 
-    return rows.repartition("dim").sortWithinPartitions("dim", "tick").mapInArrow(run, "tick long, dim string, p50 double, p95 double, p99 double, n long")
+    names = ["tick", "dim", "p50", "p95", "p99", "n"]
+    kinds = [pa.int64(), pa.string(), *[pa.float64()] * 3, pa.int64()]
+    return rows.repartition("dim").sortWithinPartitions("dim", "tick").mapInArrow(run, BASELINE)
 
 
 def learnt(events: DataFrame, ticks: DataFrame, start: Column, name: str, every: int = TICK, conf: float = CONFIDENCE) -> DataFrame:

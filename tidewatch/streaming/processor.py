@@ -17,11 +17,14 @@ def timed(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return events.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", lateness)
 
 
-def snapshots(events: DataFrame, size: int = 60, every: int = 10, lateness: str = LATENESS) -> DataFrame:
-    """Per tick and address the counters of the last `size` seconds, emitted once the watermark passes."""
+def snapshots(events: DataFrame, size: int = 60, every: int = 10, lateness: str = LATENESS, first: bool = False) -> DataFrame:
+    """Per tick and address the counters of the last `size` seconds, emitted once the watermark passes.
+
+    `first` adds first_ts, the time of the earliest event among them.
+    """
     at = F.window("event_time", f"{size} seconds", f"{every} seconds", "1 second")
-    sums = timed(events, lateness).groupBy(at.alias("w"), "source_ip").agg(*[F.sum(c).alias(c) for c in COUNTERS])
-    return sums.select((F.unix_timestamp(F.col("w.end")) - 1).alias("tick"), "source_ip", *COUNTERS)
+    sums = timed(events, lateness).groupBy(at.alias("w"), "source_ip").agg(*[F.sum(c).alias(c) for c in COUNTERS], *[F.min("ts").alias("first_ts")] * first)
+    return sums.select((F.unix_timestamp(F.col("w.end")) - 1).alias("tick"), "source_ip", *COUNTERS, *["first_ts"] * first)
 
 
 def write_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], every: str | None = None):
