@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import posixpath
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from . import features
 
@@ -91,6 +92,17 @@ def reload(current: DetectorConfig, override: dict) -> DetectorConfig:
         return current
 
 
+def dumps(c: DetectorConfig) -> str:
+    return json.dumps(asdict(c))
+
+
+def loads(text: str) -> DetectorConfig:
+    """The configuration that `dumps` has written."""
+    base = DetectorConfig()
+    kinds = {f.name: type(getattr(base, f.name)) for f in fields(base)}
+    return DetectorConfig(**{n: kinds[n](**v) if isinstance(v, dict) else kinds[n](v) for n, v in json.loads(text).items()})
+
+
 def decision_weights(cloud: float, frequency: float, detector: float) -> tuple[float, float, float]:
     """X11: weights of the composite decision; all positive, their sum within [0.5, 1.5]."""
     if min(cloud, frequency, detector) <= 0 or not 0.5 <= cloud + frequency + detector <= 1.5:

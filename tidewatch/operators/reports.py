@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def report(events: DataFrame, every: int | None = None) -> DataFrame:
     """A1: counts of a whole table or, with `every`, of each period: processed, by score, by status class, distinct addresses."""
@@ -32,6 +36,22 @@ def logged_report(events: DataFrame, low: int = 10, every: int = 600) -> DataFra
     return all_of.join(seen, "period", "left").na.fill(0, ["total", "ips", "high", "medium"])
 
 
+#: A1: the dimensions of a report and the part of a window's score that each is a hit of.
+HITS = {"sensitive_path": "s_sens", "bot_ua": "s_bot", "empty_referer": "s_empty_ref", "dangerous_method": "s_dmethod", "auth_fail": "s_auth"}
+SOURCES = {"nginx": "nginx_access", "apache": "apache_access", "tomcat": "tomcat_access", "linux": "linux_auth"}
+
+
+def dimension_hits(scored: DataFrame, windows: Sequence[int] = (10, 30, 60), low: int = 10, every: int = 600) -> DataFrame:
+    """A1 behind G6: per period the events at least `low`, how many come from each kind of source, and how many hit each dimension.
+
+    An event hits a dimension if some window's score has points for it. Periods without such events give no row.
+    """
+    hit = lambda part: F.count_if(S.any_of([F.col(f"{part}_{w}") > 0 for w in windows]))
+    period = (F.floor(F.col("ts") / every) * every).cast("long").alias("period")
+    from_ = [F.count_if(F.col("source") == v).alias(f"from_{k}") for k, v in SOURCES.items()]
+    return logged(scored, low).groupBy(period).agg(F.count("*").alias("total"), *from_, *[hit(part).alias(f"{n}_hits") for n, part in HITS.items()])
+
+
 def per_source(events: DataFrame) -> DataFrame:
     """A1 by source and status class, with subtotals."""
     return events.rollup("source", F.floor(F.col("status") / 100).alias("status_class")).agg(F.count("*").alias("n"))
@@ -58,11 +78,41 @@ def max_score(events: DataFrame) -> DataFrame:
     return events.groupBy("source_ip").agg(best).select("source_ip", F.col("x.final").alias("score"), (-F.col("x._s")).alias("seq"), F.col("x.ts").alias("ts"), F.col("x.path").alias("path"))
 
 
-def feature_stats(events: DataFrame, k: int = 20) -> DataFrame:
-    """Per dimension the k commonest values with hits and how many of them scored high and low."""
+def _values(events: DataFrame, *keep: Column | str) -> DataFrame:
+    """The columns kept, dim and value of each event's four dimensions."""
     dims = {"path": F.col("path"), "user_agent": F.col("user_agent"), "method": F.col("method"), "status": F.col("status").cast("string")}
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), v.alias("value")) for d, v in dims.items()])).alias("x")
-    rows = events.select("is_high", each).groupBy("x.dim", "x.value").agg(F.count("*").alias("hits"), F.count_if("is_high").alias("high"), F.count_if(~F.col("is_high")).alias("low"))
+    return events.select(*keep, each).select("*", "x.dim", "x.value").drop("x")
+
+
+def feature_stats(events: DataFrame, k: int = 20) -> DataFrame:
+    """Per dimension the k commonest values with hits and how many of them scored high and low."""
+    rows = _values(events, "is_high").groupBy("dim", "value").agg(F.count("*").alias("hits"), F.count_if("is_high").alias("high"), F.count_if(~F.col("is_high")).alias("low"))
+    w = Window.partitionBy("dim").orderBy(F.desc("hits"), "value")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def feature_sketches(events: DataFrame, every: int = 600, tracked: int = 10_000) -> DataFrame:
+    """A6 that can be added up: per period and dimension a frequent-items sketch (period, dim, sketch).
+
+    Sketches are made where the rows lie and merged by shuffle, so a period moves one of at most `tracked` values a
+    partition, however many values there are.
+    """
+    return (
+        _values(events, (F.floor(F.col("ts") / every) * every).cast("long").alias("period"))
+        .groupBy("period", "dim").agg(F.expr(f"approx_top_k_accumulate(value, {tracked})").alias("sketch"))
+    )
+
+
+def sketched_stats(sketches: DataFrame, k: int = 20, tracked: int = 10_000) -> DataFrame:
+    """The k commonest values of each dimension over all periods given: dim, value, hits, rank.
+
+    With up to 3/4 of `tracked` distinct values hits are exact; beyond, a value with more than 3.5 / tracked of all hits is
+    never missed and its hits are off by at most that share.
+    """
+    found = sketches.groupBy("dim").agg(F.expr("approx_top_k_combine(sketch)").alias("s"))
+    each = F.explode(F.expr(f"approx_top_k_estimate(s, {tracked})")).alias("x")
+    rows = found.select("dim", each).select("dim", F.col("x.item").alias("value"), F.col("x.count").alias("hits"))
     w = Window.partitionBy("dim").orderBy(F.desc("hits"), "value")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

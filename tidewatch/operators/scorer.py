@@ -88,7 +88,7 @@ def score_window(df: DataFrame, w: int, base: Mapping[str, Column], cfg: Detecto
     least = cap * 60 // 100
     lifted = lambda d: F.when(synergy, F.greatest(v(f"rel_{d}"), F.lit(least))).otherwise(v(f"rel_{d}"))
     df = df.withColumns({"_rel_bot": lifted("bot"), "_rel_sens": lifted("sens")})
-    parts = {"freq": reduce(lambda a, d: a + v(f"rel_{d}"), RELATIVE, F.lit(0)).cast("long"), "dims": v("dims").cast("long"), "legit": v("legit"), "inactive": v("idle"), "s_danger": v("danger"), "s_dmethod": v("dmethod"), "s_upload": v("upload"), "s_bot": v("rel_bot").cast("long")}
+    parts = {"freq": reduce(lambda a, d: a + v(f"rel_{d}"), RELATIVE, F.lit(0)).cast("long"), "dims": v("dims").cast("long"), "legit": v("legit"), "inactive": v("idle"), "s_danger": v("danger"), "s_dmethod": v("dmethod"), "s_upload": v("upload"), "s_bot": v("rel_bot").cast("long"), "s_sens": v("rel_sens").cast("long"), "s_auth": v("rel_auth"), "s_empty_ref": v("rel_empty_ref")}
     df = df.withColumns({f"score_{w}": score.cast("long")} | {f"{n}_{w}": x for n, x in parts.items()})
     return df.drop(*[x for x in df.columns if x.startswith("_")])
 

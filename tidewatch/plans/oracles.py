@@ -93,6 +93,37 @@ RATIO = "case when {0} <= 0 or total <= 0 then 0.0::double else {0}::double / to
 ATTACK = f"(total < 5 or {RATIO.format('c4xx')} > 0.8 or {RATIO.format('c404')} > 0.8 or {RATIO.format('bot')} > 0.9 or danger >= 3 or trav >= 3)"
 RATES = {"r4xx": "c4xx", "r5xx": "c5xx", "r404": "c404", "auth": "auth_fail", "sens": "sens", "bot": "bot", "empty_ref": "empty_ref", "head": "head"}
 SAMPLES = f"{TICKS}, s as (select tick, 'qps' as dim, total / 60.0::double as value from snap where not {ATTACK}" + "".join(f" union all select tick, '{d}', {RATIO.format(c)} from snap where not {ATTACK}" for d, c in RATES.items()) + ")"
+TRIMMED = f"""{SAMPLES}, g as (select tick, dim, list_sort(list(value)) as l, count(*) as n from s group by tick, dim),
+  m as (select *, list_extract(l, n // 2 + 1) as med from g), m2 as (select *, list_extract(list_sort(list_transform(l, lambda x: abs(x - med))), n // 2 + 1) as mad from m),
+  k as (select tick, dim, case when n < 5 or mad <= 0 then l else list_filter(l, lambda x: x <= med + 5.0::double * mad) end as l from m2),
+  k2 as (select *, len(l) as n, list_extract(l, cast(floor(len(l) * 0.99::double) as bigint) + 1) as top from k),
+  h as (select tick, dim, case when n < 5 or top <= 0 then l else list_filter(l, lambda x: x <= 10.0::double * top) end as l from k2)"""
+FLOORS = {"p50": "0.0003::double", "p95": "0.001::double", "p99": "0.003::double"}
+CENTILES = {"p50": "0.5::double", "p95": "0.95::double", "p99": "0.99::double"}
+
+
+def least_rate(p95: str) -> str:
+    return f"greatest(0.5::double, least(50.0::double, {p95} * 0.1::double))"
+
+
+def folded() -> str:
+    """`fold` with the baseline after each tick, one step of the recursion a tick."""
+    at = ", ".join(f"list_extract(l, cast(floor(len(l) * {x}) as bigint) + 1) as {p}" for p, x in CENTILES.items())
+    own = ", ".join(f"case when dim = 'qps' then {p} else greatest({p}, {x}) end as {p}" for p, x in FLOORS.items())
+    low = "case when f.p95 > 0 then " + least_rate("f.p95") + " else 0.5::double end"
+    raised = lambda t, low: {"p50": f"greatest({t}p50, {low} * 0.3::double)", "p95": low, "p99": f"greatest({t}p99, {low} * 2)"}
+    lift = lambda t, low: ", ".join(f"case when dim = 'qps' and {t}p95 < {low} then {x} else {t}{p} end as {p}" for p, x in raised(t, low).items())
+    mixed = ", ".join(f"o{p} * d + {p} * (1 - d) as {p}" for p in FLOORS)
+    kept = {p: f"case when dim = 'qps' then {p} else greatest({p}, {x}) end" for p, x in FLOORS.items()}
+    kept["p95"] = "case when dim = 'qps' then greatest(p95, case when p95 <= 0 then 1.0::double else " + least_rate("p95") + " end) else greatest(p95, " + FLOORS["p95"] + ") end"
+    final = ", ".join(f"{x} as {p}" for p, x in kept.items())
+    return f"""{TRIMMED}, v as (select tick, dim, len(l) as n, {at} from h),
+      t as (select tick, dim, n, row_number() over (partition by dim order by tick) as i, case when tick - {EPOCH} < 1800 then 0.5::double else 0.8::double end as d, {own} from v),
+      fold as (select tick, dim, i, n, {lift('', '0.5::double')} from t where i = 1 union all
+        select tick, dim, i, n, {final} from (select tick, dim, i, n, {mixed} from (
+          select t.tick, dim, t.i, t.n, t.d, f.p50 as op50, f.p95 as op95, f.p99 as op99, {lift('t.', low)} from fold f join t using (dim) where t.i = f.i + 1)))"""
+
+
 AT = "round(list_extract(l, cast(floor({0}) as bigint) + 1), 6)"
 PCT = f"{AT.format('n / 2.0')} as p50, {AT.format('n * 0.95::double')} as p95, {AT.format('n * 0.99::double')} as p99, n"
 SUM = "cast(sum({0}) as bigint)"
@@ -181,6 +212,14 @@ ORACLES = {
       k as (select tick, dim, case when n < 5 or mad <= 0 then l else list_filter(l, lambda x: x <= med + 5.0::double * mad) end as l from m2), h as (select *, len(l) as n from k) select tick, dim, {PCT} from h""",
     "p99_trim": f"""with {SAMPLES}, g as (select dim, list_sort(list(value)) as l, count(*) as n from s group by dim), m as (select *, list_extract(l, cast(floor(n * 0.99::double) as bigint) + 1) as p from g),
       k as (select dim, case when n < 5 or p <= 0 then l else list_filter(l, lambda x: x <= p) end as l from m), h as (select *, len(l) as n from k) select dim, {PCT} from h""",
+    "baseline_decay": f"with recursive {folded()} select tick, dim, round(p50, 6) as p50, round(p95, 6) as p95, round(p99, 6) as p99, n from fold",
+    "baseline_thresholds": f"""with recursive {folded()}, q as (select *, greatest(1.01::double, least(10.0::double, p95 / greatest(p50, 0.5::double))) as r from fold where dim = 'qps')
+      select tick, {', '.join(f"round(case when n = 0 or p50 <= 0 then {wide} else least(greatest(r * {m}::double, {low}::double), 15.0::double) end, 6) as th{i}" for i, m, low, wide in ((1, 1.2, 1.5, 2), (2, 1.5, 2.0, 5), (3, 2.5, 3.0, 10)))},
+        round(case when n = 0 or p95 <= 0 then 1.0::double else {least_rate('p95')} end, 6) as min_qps, round(case when n = 0 or p95 <= 0 then 0.3::double else greatest(p95 * 0.02::double, 0.05::double) end, 6) as guard_qps from q""",
+    "asof_baseline": f"""with recursive {folded()} select a.seq, cast(a.ts // 10 * 10 as bigint) as tick, round(f.p50, 6) as p50, round(f.p95, 6) as p95, f.n from access a left join (select * from fold where dim = 'qps') f on f.tick = a.ts // 10 * 10""",
+    "stream_settings": f"""with {INDICATED}, e as (select min(ts) as lo, (max(ts) - min(ts)) // 3 + 1 as third from ind), x as (select *, (ts - lo) // third as batch from ind, e)
+      select batch, count(*) as events, cast(sum(case when batch = 0 then sens when status >= 400 and list_has_any(string_split(lower({BARE}), '/'), ['orders', 'users']) then 1 else 0 end) as bigint) as sens,
+        cast(sum(case when batch = 0 then bot when contains(user_agent, 'okhttp/4') or contains(user_agent, 'Nmap') then 1 else 0 end) as bigint) as bot from x group by batch""",
     "ip_diversity": f"""with {ACCESS}, c as (select source_ip, count(*) as n from access group by 1), t as (select *, row_number() over (order by n desc, source_ip) as k from c),
       r as (select count(*) as unique_ips, max(n)::double / sum(n) as a, sum(n) filter (k <= 3)::double / sum(n) as b from t) select unique_ips, round(a, 6) as top1_ratio, round(b, 6) as top3_ratio, unique_ips between 1 and 3 or (unique_ips between 4 and 10 and (a >= 0.9 or b >= 0.98)) as suspicious from r""",
     "prefix_runs": f"""with {RING}, x as (select *, {SEG} as seg from ring), y as (select *, case when seg = lag(seg) over (partition by source_ip order by pos) then 0 else 1 end as new from x),
@@ -240,6 +279,11 @@ ORACLES = {
     "max_score_payload": f"with {JUDGED} select source_ip, final as score, seq, ts, path from (select *, row_number() over (partition by source_ip order by final desc, seq) as k from j) where k = 1",
     "feature_stats": f"""with {JUDGED}, x as (select 'path' as dim, path as value, is_high from j union all select 'user_agent', user_agent, is_high from j union all select 'method', method, is_high from j union all select 'status', cast(status as varchar), is_high from j),
       g as (select dim, value, count(*) as hits, count(*) filter (is_high) as high, count(*) filter (not is_high) as low from x group by all) select * from (select *, row_number() over (partition by dim order by hits desc, value) as rank from g) where rank <= 20""",
+    "feature_sketches": f"""with {JUDGED}, x as (select 'path' as dim, path as value from j union all select 'user_agent', user_agent from j union all select 'method', method from j union all select 'status', cast(status as varchar) from j),
+      g as (select dim, value, count(*) as hits from x group by all) select * from (select *, row_number() over (partition by dim order by hits desc, value) as rank from g) where rank <= 20""",
+    "dimension_hits": f"""with {JUDGED}, w as (select j.*, {', '.join(f"{n} > 0 or sum({n}) over (partition by source_ip order by ts, seq rows unbounded preceding) - coalesce(sum({n}) over (partition by source_ip order by ts range between unbounded preceding and 60 preceding), 0) > 0 as h_{n}" for n in ('sens', 'bot', 'empty_ref', 'dmethod', 'c401'))} from j)
+      select cast(ts // 600 * 600 as bigint) as period, count(*) as total, count(*) filter (source = 'nginx_access') as from_nginx, count(*) filter (source = 'apache_access') as from_apache, count(*) filter (source = 'tomcat_access') as from_tomcat, 0::bigint as from_linux,
+        count(*) filter (h_sens) as sensitive_path_hits, count(*) filter (h_bot) as bot_ua_hits, count(*) filter (h_empty_ref) as empty_referer_hits, count(*) filter (h_dmethod) as dangerous_method_hits, count(*) filter (h_c401) as auth_fail_hits from w where final >= 10 group by 1""",
     "digest": f"""with {JUDGED}, m as (select source_ip as ip, final as score, ts from (select *, row_number() over (partition by source_ip order by final desc, seq) as k from j) where k = 1)
       select sha256(concat(string_agg(concat(ip, '|', score, '|', ts), ';' order by ip, ts), 'suffix')) as digest from m""",
     "distinct_counts": f"with {ACCESS} select count(distinct source_ip) as n_source_ip, count(distinct path) as n_path, count(distinct user_agent) as n_user_agent from access",
@@ -252,3 +296,4 @@ ORACLES = {
 }
 ORACLES["stream_port_scan"] = ORACLES["port_scan"]
 ORACLES["stream_snapshots"] = ORACLES["ip_snapshot_ticks"]
+ORACLES["stream_baseline"] = ORACLES["baseline_decay"]

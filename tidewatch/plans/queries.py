@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .. import config, features
 from ..functions import decoding, parsers
@@ -13,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import baseline, confirm, consistency, decision, detect, indicators, layers, reports, scorer, windows
 from ..session import scratch, share_code, written
 from ..sources import access as src
-from ..streaming import processor, sets, stateful
+from ..streaming import learning, processor, sets, settings, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -580,6 +581,45 @@ def stream_snapshots(spark, d):
     return _streamed(e, "source_ip", int(span) + 60, lambda s, late: processor.snapshots(s, lateness=late))
 
 
+def _steps(rows: DataFrame, run: Callable[[DataFrame], DataStreamWriter], between: Callable[[int], None] = lambda k: None, last: DataFrame | None = None) -> None:
+    """A stream over the rows that stops and goes on: each run gets the next third in order of time, a fourth one `last`."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    ends = rows.agg(F.min("ts"), F.max("ts")).first()
+    third = ((ends[1] or 0) - (ends[0] or 0)) // 3 + 1
+    parts = [rows.where(F.floor((F.col("ts") - F.lit(ends[0] or 0)) / third) == k) for k in range(3)]
+    for k, part in enumerate([*parts, last] if last is not None else parts):
+        part.write.parquet(f"{path}/in/{k}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        run(stream).option("checkpointLocation", f"{path}/place").trigger(availableNow=True).start().awaitTermination()
+        between(k)
+
+
+@query
+def stream_baseline(spark, d):
+    """B10 by a stream: the baseline after each tick, learnt in runs that go on from the table; a last event far ahead moves the watermark past all."""
+    e = _indicated(spark, d).select("seq", "ts", "source_ip", *indicators.COUNTERS)
+    zero = [F.lit(0).cast("long").alias(c) for c in indicators.COUNTERS]
+    last = e.agg(F.max("seq").alias("seq"), (F.max("ts") + 10**6).alias("ts"), F.lit("").alias("source_ip"), *zero).where("ts is not null")
+    table = learning.BaselineTable(spark, scratch(spark))
+    _steps(e, lambda s: processor.snapshots(s, lateness="10 seconds", first=True).writeStream.foreachBatch(table.apply), last=last)
+    return table.ticks().select("tick", "dim", *_r("p50", "p95", "p99"), "n")
+
+
+@query
+def stream_settings(spark, d):
+    """Indicators of a stream whose settings change: the built-in lists, then others with a fetched agent, then a version that does not hold."""
+    a, kept = src.access(spark, d), settings.Settings(spark, scratch(spark), lambda s: (1, s.createDataFrame([("ua", "okhttp/4", 0)], "category string, value string, ord long")))
+    changes = [
+        {"sensitive_paths": {"items": ["orders", "users"], "builtin": False}, "bot_agents": {"excludes": ["sqlmap"]}, "known_clients": {"excludes": ["okhttp"]}},
+        {"high": 5, "medium": 30},
+    ]
+    path = scratch(spark)
+    work = lambda batch, cfg, k: indicators.indicators(batch, cfg).select("seq", "sens", "bot", F.lit(k).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{path}/{k}")
+    _steps(a, lambda s: s.writeStream.foreachBatch(kept.each(work)), lambda k: kept.offer(changes[k]) if k < len(changes) else None)
+    out = spark.read.schema("seq long, sens long, bot long, batch long").option("recursiveFileLookup", True).parquet(path)
+    return out.groupBy("batch").agg(F.count("*").alias("events"), F.sum("sens").alias("sens"), F.sum("bot").alias("bot"))
+
+
 @query
 def confirm_blocks(spark, d):
     """Confirmation over failed requests as high scores."""
@@ -661,6 +701,20 @@ def feature_stats(spark, d):
     return reports.feature_stats(_judged(spark, d))
 
 
+@query
+def feature_sketches(spark, d):
+    """A6 from sketches of each period, added up."""
+    return reports.sketched_stats(reports.feature_sketches(_judged(spark, d)))
+
+
+@query
+def dimension_hits(spark, d):
+    """A1: hits by dimension, with the counters of two windows as their points."""
+    points = {"s_sens": "sens", "s_bot": "bot", "s_empty_ref": "empty_ref", "s_dmethod": "dmethod", "s_auth": "c401"}
+    wide = windows.trailing_counters(_judged(spark, d), (10, 60))
+    return reports.dimension_hits(wide.withColumns({f"{p}_{w}": F.col(f"{c}_{w}") for p, c in points.items() for w in (10, 60)}), (10, 60))
+
+
 @query
 def digest(spark, d):
     return reports.digest(reports.max_score(_judged(spark, d)).select(F.col("source_ip").alias("ip"), "score", "ts"), "suffix")
