@@ -118,5 +118,11 @@ def test_detector_end_to_end(spark, traffic):
     assert detect.blocks(found, replace(cfg, report_only=True)).count() == 0
 
 
+def test_detector_trusts_what_the_preload_gives(spark, traffic):
+    cfg, doubted = config.DetectorConfig(honeypot_paths=("/trap/",)), baseline.Preload(10, 5, 0, 0.05, {})
+    found = detect.detect(traffic, cfg, preload=doubted).where("is_high").select("source_ip").distinct().collect()
+    assert [r[0] for r in found] == ["8.8.8.8"]
+
+
 def test_detector_on_no_events(spark, traffic):
     assert detect.detect(traffic.limit(0)).count() == 0

@@ -13,12 +13,12 @@ from .confirm import confirm_blocks, idor
 RESULT = ("seq", "ts", "source_ip", "source", "path", "status", "route", "best", "final", "is_high", "high_confidence", "honeypot")
 
 
-def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource: tuple[str, str, int] | None = None) -> DataFrame:
+def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource: tuple[str, str, int] | None = None, preload: baseline.Preload | None = None) -> DataFrame:
     """The columns RESULT of every event that is scored or meets a trap; `seq` must be unique.
 
     Each window has a baseline of its own, learnt from the first scored event on and looked up as of each event; until it
     is ready, wide defaults hold. `resource` is (path pattern, id pattern, most) of the enumeration check. A trap scores
-    twice `high` at once. Paths are scored, and come out, as F6 cleans them. Behaviour is that of an address's last scored
+    twice `high` at once. `preload` judges how far a ready baseline is trusted (B12); without one half-way. Paths are scored, and come out, as F6 cleans them. Behaviour is that of an address's last scored
     events as of each event whose score could be high. No events give no rows.
     """
     edge = F.col("edge_ip") if "edge_ip" in events.columns else None
@@ -29,7 +29,7 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource:
     wide = windows.ema(windows.window_counters(own, cfg.windows))
     for w in cfg.windows:
         ticks = written(baseline.baselines(baseline.tick_percentiles(windows.snapshots(own, w), w), start))
-        wide = baseline.learnt(wide, ticks, start, f"base_{w}")
+        wide = baseline.learnt(wide, ticks, start, f"base_{w}", conf=preload.confidence if preload else baseline.CONFIDENCE)
     if resource:
         path, ident, most = resource
         wide = wide.join(idor(own, path, ident, most=most).select(F.col("seq").alias("_seq"), "idor"), F.col("seq") == F.col("_seq"), "left").drop("_seq")

@@ -124,6 +124,11 @@ def folded() -> str:
           select t.tick, dim, t.i, t.n, t.d, f.p50 as op50, f.p95 as op95, f.p99 as op99, {lift('t.', low)} from fold f join t using (dim) where t.i = f.i + 1)))"""
 
 
+LOOKBACK = f"""{ACCESS}, buckets as (select cast(ts // 300 * 300 as bigint) as bucket, count(*) as total, count(*) filter (status = 404) as n404, count(*) filter (status in (401, 403)) as auth, count(*) filter (status in (401, 403, 400, 405, 408, 429, 422)) as n4xx, count(*) filter (status between 500 and 504) as n5xx from access group by 1),
+  ends as (select min(bucket) as lo, max(bucket) as hi from buckets), tries as (select unnest(range(10, 241, 30)) as minutes),
+  lists as (select minutes, lo, hi - minutes * 60 as cutoff, list_sort(list(total)) as l from tries, ends, buckets where bucket >= hi - minutes * 60 group by all),
+  meds as (select *, greatest(list_extract(l, len(l) // 2 + 1), 1)::double as median from lists), looks as (select *, len(list_filter(l, lambda x: x >= median * 0.5::double)) as healthy from meds),
+  look as (select minutes, cutoff, median, len(l) as buckets, healthy from looks where minutes = (select coalesce(min(minutes) filter (healthy >= 10 or lo >= cutoff), max(minutes)) from looks))"""
 AT = "round(list_extract(l, cast(floor({0}) as bigint) + 1), 6)"
 PCT = f"{AT.format('n / 2.0')} as p50, {AT.format('n * 0.95::double')} as p95, {AT.format('n * 0.99::double')} as p99, n"
 SUM = "cast(sum({0}) as bigint)"
@@ -217,6 +222,19 @@ ORACLES = {
       select tick, {', '.join(f"round(case when n = 0 or p50 <= 0 then {wide} else least(greatest(r * {m}::double, {low}::double), 15.0::double) end, 6) as th{i}" for i, m, low, wide in ((1, 1.2, 1.5, 2), (2, 1.5, 2.0, 5), (3, 2.5, 3.0, 10)))},
         round(case when n = 0 or p95 <= 0 then 1.0::double else {least_rate('p95')} end, 6) as min_qps, round(case when n = 0 or p95 <= 0 then 0.3::double else greatest(p95 * 0.02::double, 0.05::double) end, 6) as guard_qps from q""",
     "asof_baseline": f"""with recursive {folded()} select a.seq, cast(a.ts // 10 * 10 as bigint) as tick, round(f.p50, 6) as p50, round(f.p95, 6) as p95, f.n from access a left join (select * from fold where dim = 'qps') f on f.tick = a.ts // 10 * 10""",
+    "learnt_baseline": f"""with recursive {folded()}, ticks as (select tick, sum(n) as n, max(p95) filter (dim = 'qps') as qps, max(p95) filter (dim = 'r4xx') as r4xx from fold group by tick),
+      x as (select a.seq, coalesce(b.n, 0) >= 100 and a.ts - {EPOCH} >= 300 as ready, b.* from (select *, ts // 10 * 10 as at from access) a asof left join ticks b on a.at >= b.tick)
+      select seq, case when ready then 0.5::double else 0.0::double end as conf, round(case when ready then qps else 1000.0::double end, 6) as qps_p95, round(case when ready then r4xx else 1.0::double end, 6) as r4xx_p95, round(coalesce(qps, 0.0::double), 6) as own_qps_p95 from x""",
+    "adaptive_lookback": f"with {LOOKBACK} select cast(minutes as bigint) as minutes, cutoff, median, buckets, healthy from look",
+    "preload_baseline": f"""with {LOOKBACK}, good as (select b.*, b.total::double as t from buckets b, look where b.bucket >= look.cutoff and b.total >= look.median * 0.5::double),
+      s as (""" + " union all ".join(f"select '{d}' as dim, {v} as value from good" for d, v in {"qps": "t / 300.0::double", "r4xx": "n4xx / t", "r5xx": "n5xx / t", "r404": "n404 / t", "auth": "auth / t"}.items()) + """),
+      g as (select dim, list_sort(list(value)) as l from s group by dim), g2 as (select *, list_extract(l, cast(floor(len(l) * 0.99::double) as bigint) + 1) as top from g),
+      k as (select dim, case when len(l) < 5 or top <= 0 then l else list_filter(l, lambda x: x <= 10.0::double * top) end as l from g2), k2 as (select *, list_extract(l, len(l) // 2 + 1) as med from k),
+      k3 as (select *, list_extract(list_sort(list_transform(l, lambda x: abs(x - med))), len(l) // 2 + 1) as mad from k2),
+      h as (select dim, case when dim <> 'qps' or len(l) < 5 or mad <= 0 then l else list_filter(l, lambda x: x <= med + 5.0::double * mad) end as l from k3),
+      p as (select dim, len(l) as n, """ + ", ".join(f"list_extract(l, cast(floor(len(l) * {x}) as bigint) + 1) as {p}" for p, x in CENTILES.items()) + f""" from h),
+      f as (select *, case when p95 <= 0 then 1.0::double else {least_rate('p95')} end as low from p)
+      select dim, n, """ + ", ".join(f"round(case when dim = 'qps' and p95 < low then low * {m}::double else {p} end, 6) as {p}" for p, m in (("p50", 0.3), ("p95", 1), ("p99", 2))) + """ from f""",
     "stream_settings": f"""with {INDICATED}, e as (select min(ts) as lo, (max(ts) - min(ts)) // 3 + 1 as third from ind), x as (select *, (ts - lo) // third as batch from ind, e)
       select batch, count(*) as events, cast(sum(case when batch = 0 then sens when status >= 400 and list_has_any(string_split(lower({BARE}), '/'), ['orders', 'users']) then 1 else 0 end) as bigint) as sens,
         cast(sum(case when batch = 0 then bot when contains(user_agent, 'okhttp/4') or contains(user_agent, 'Nmap') then 1 else 0 end) as bigint) as bot from x group by batch""",
