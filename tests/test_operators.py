@@ -168,6 +168,19 @@ def test_networks_of_both_kinds_cover(spark):
     assert decision.cover(ips, nets.where("net = '10.0.0.0/8'")).count() == 1
 
 
+def test_ipv6_spellings_are_one_address(spark):
+    ips = spark.createDataFrame([(x,) for x in ("2001:0db8:0:0::1", "2001:db8::2", "::ffff", "")], "ip string")
+    nets = spark.createDataFrame([(x,) for x in ("2001:db8::1", "0:0::FFFF", "10.0.0.0/x")], "net string")
+    assert sorted(r["ip"] for r in decision.cover(ips, nets).collect()) == ["2001:0db8:0:0::1", "::ffff"]
+    held = spark.createDataFrame([("2001:db8::9", 5), ("9.9.9.9", 6)], "ip string, expires_at long")
+    asked = spark.createDataFrame([("2001:DB8:0::9", False), ("2001:db8:0::1", False), ("2001:db8:0::1", True), ("1::2::3", False), ("9.9.9.9", False), ("fe80::/10", False)], "ip string, force boolean")
+    got = sorted((r["ip"], r["outcome"]) for r in decision.block(asked, nets, held).collect())
+    assert got == [("1::2::3", "invalid"), ("2001:DB8:0::9", "exists"), ("2001:db8:0::1", "blocked"), ("2001:db8:0::1", "whitelisted"), ("9.9.9.9", "exists"), ("fe80::/10", "blocked")]
+    left, outcome = decision.unblock(asked.select("ip").limit(1), held)
+    assert [r["ip"] for r in left.collect()] == ["9.9.9.9"] and left.columns == held.columns
+    assert [r["outcome"] for r in outcome.collect()] == ["unblocked"]
+
+
 # Confirmation
 
 

@@ -28,7 +28,7 @@ class Confirm:
 
 @dataclass(frozen=True)
 class DetectorConfig:
-    """Code semantics are the default; compat=True also reproduces its known wiring slips."""
+    """Settings of the detector; `ring` is the number of an address's last events that its behaviour is judged on."""
 
     enabled: bool = True
     report_only: bool = False
@@ -52,7 +52,6 @@ class DetectorConfig:
     known_clients: tuple[str, ...] = tuple(features.KNOWN_CLIENTS)
     browser_agents: tuple[str, ...] = tuple(features.BROWSER_AGENTS)
     patterns: tuple[str, ...] = tuple(features.DANGEROUS_PATTERNS)
-    compat: bool = False
 
 
 def merge(base: DetectorConfig, override: dict) -> DetectorConfig:

@@ -246,8 +246,9 @@ def as_of(events: DataFrame, t: Shape = Shape(), keep: int = 512, asked: Column
     """
     bare = S.without_query(F.col("path"))
     rows = numbered(events.select("seq", "ts", "source_ip", F.coalesce("path", F.lit("")).alias("path"), "status", "method", (asked if asked is not None else F.lit(True)).alias("_ask")))
-    piece = F.floor(F.col("_pos") / PIECE)
-    both = F.when(F.col("_pos") % PIECE >= PIECE - keep + 1, F.array(piece, piece + 1)).otherwise(F.array(piece))
+    size = max(PIECE, keep)
+    piece = F.floor(F.col("_pos") / size)
+    both = F.when(F.col("_pos") % size >= size - keep + 1, F.array(piece, piece + 1)).otherwise(F.array(piece))
     rows = rows.withColumn("_piece", F.explode(both)).withColumn("_ask", F.coalesce("_ask", F.lit(False)) & (F.col("_piece") == piece))
     rows = rows.select("source_ip", "_piece", "_pos", "seq", "_ask", S.first_segment(F.col("path")).alias("seg"), "path", "status", S.method_code(F.col("method")).alias("method"), bare.rlike(COMMON_PROBE).alias("probe"), bare.rlike(STATIC_PATH).alias("static"))
 

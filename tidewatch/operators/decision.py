@@ -37,10 +37,10 @@ def decide_all(intel: DataFrame, local: DataFrame, now: Column, recent: int = 60
     return decide(both)
 
 
-def ttl(seconds: Column, source: Column) -> Column:
+def ttl(seconds: Column, source: Column, local: int = LOCAL_TTL, cloud: int = CLOUD_TTL) -> Column:
     """Local 3600 unless given; cloud 7200 unless given, and never more."""
-    cloud = F.when(seconds <= 0, CLOUD_TTL).otherwise(F.least(seconds, F.lit(CLOUD_TTL)))
-    return F.when(source == "cloud", cloud).otherwise(F.when(seconds <= 0, LOCAL_TTL).otherwise(seconds)).cast("long")
+    shared = F.when(seconds <= 0, cloud).otherwise(F.least(seconds, F.lit(cloud)))
+    return F.when(source == "cloud", shared).otherwise(F.when(seconds <= 0, local).otherwise(seconds)).cast("long")
 
 
 def entries(requests: DataFrame) -> DataFrame:
@@ -56,20 +56,28 @@ def active(state: DataFrame, now: Column) -> DataFrame:
 
 
 def valid_address(ip: Column) -> Column:
-    """P15 for columns: an IPv4 address or network, or an IPv6 one by shape; functions.decoding.valid_ip checks IPv6 in full."""
+    """P15 for columns: an IPv4 or IPv6 address or network. Only texts that look like IPv6 go to Python."""
     host, bits = F.substring_index(ip, "/", 1), F.when(ip.contains("/"), F.substring_index(ip, "/", -1))
     v4 = S.ip_number(host).isNotNull() & (bits.isNull() | bits.rlike("^([0-9]|[12][0-9]|3[0-2])$"))
-    v6 = host.rlike("^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$") & (bits.isNull() | bits.rlike("^([0-9]{1,2}|1[01][0-9]|12[0-8])$"))
+    shaped = host.rlike("^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$")
+    v6 = shaped & decoding.ipv6_bits(F.when(shaped, host)).isNotNull() & (bits.isNull() | bits.rlike("^([0-9]{1,2}|1[01][0-9]|12[0-8])$"))
     return v4 | v6
 
 
+def spelling(ip: Column) -> Column:
+    """One text for all spellings of an IPv6 address (its bits); other texts as they are."""
+    v6 = ip.contains(":")
+    return F.when(v6, F.coalesce(decoding.ipv6_bits(F.when(v6, ip)), ip)).otherwise(ip)
+
+
 def cover(ips: DataFrame, nets: DataFrame, key: str = "ip") -> DataFrame:
     """Rows of `ips` that one of `nets` (column net: an address, or an IPv4 or IPv6 network) covers.
 
     Networks become an equal join on their prefix: an address has one prefix for each prefix length
-    that the networks use, at most 33 and 129, so no range is compared with every address.
+    that the networks use, at most 33 and 129, so no range is compared with every address. A single IPv6 address
+    is a network of 128 bits, so its spelling does not matter.
     """
-    bits = F.when(F.col("net").contains("/"), F.substring_index("net", "/", -1).cast("int")).otherwise(32)
+    bits = F.when(F.col("net").contains("/"), F.substring_index("net", "/", -1).try_cast("int")).when(F.col("net").contains(":"), 128).otherwise(32)
     n = nets.select(S.ip_number(F.substring_index("net", "/", 1)).alias("first"), bits.alias("bits")).where("first is not null")
     v4 = n.select("bits", F.floor(F.col("first") / F.pow(F.lit(2.0), 32 - F.col("bits"))).cast("long").alias("prefix")).distinct()
     exact = nets.select(F.col("net").alias(key)).distinct()
@@ -78,7 +86,7 @@ def cover(ips: DataFrame, nets: DataFrame, key: str = "ip") -> DataFrame:
     each = num.where("_n is not null").join(F.broadcast(lengths), F.lit(True)).withColumn("_b", F.explode("all_bits")).drop("all_bits")
     each = each.withColumn("_p", F.floor(F.col("_n") / F.pow(F.lit(2.0), 32 - F.col("_b"))).cast("long"))
     hit = each.join(v4, (F.col("_b") == F.col("bits")) & (F.col("_p") == F.col("prefix")), "left_semi").select(key)
-    v6 = nets.where(F.col("net").contains(":") & F.col("net").contains("/")).select(decoding.ipv6_bits(F.substring_index("net", "/", 1)).alias("all"), bits.alias("bits"))
+    v6 = nets.where(F.col("net").contains(":")).select(decoding.ipv6_bits(F.substring_index("net", "/", 1)).alias("all"), bits.alias("bits"))
     v6 = v6.where("all is not null and bits <= 128").select("bits", F.expr("left(all, bits)").alias("prefix")).distinct()
     wide = ips.where(F.col(key).contains(":")).select(key, decoding.ipv6_bits(F.col(key)).alias("_all")).where("_all is not null")
     wide = wide.join(F.broadcast(v6.agg(F.collect_set("bits").alias("all_bits"))), F.lit(True)).withColumn("_b", F.explode("all_bits")).withColumn("_p", F.expr("left(_all, _b)"))
@@ -89,17 +97,18 @@ def cover(ips: DataFrame, nets: DataFrame, key: str = "ip") -> DataFrame:
 def block(requests: DataFrame, whitelist: DataFrame, blocked: DataFrame) -> DataFrame:
     """Ip, outcome (invalid, whitelisted, exists, blocked) of block requests (ip, force)."""
     covered = cover(requests.select("ip").distinct(), whitelist).withColumn("_w", F.lit(True))
-    known = blocked.select("ip").distinct().withColumn("_k", F.lit(True))
-    both = requests.join(covered, "ip", "left").join(known, "ip", "left")
+    known = blocked.select(spelling(F.col("ip")).alias("_s")).distinct().withColumn("_k", F.lit(True))
+    both = requests.join(covered, "ip", "left").withColumn("_s", spelling(F.col("ip"))).join(known, "_s", "left")
     out = F.when(~valid_address(F.col("ip")), "invalid").when(F.col("_w") & ~F.col("force"), "whitelisted").when(F.col("_k"), "exists").otherwise("blocked")
     return both.select("ip", out.alias("outcome"))
 
 
 def unblock(requests: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The state without the requested addresses, and the outcome of each request."""
-    known = blocked.select("ip").distinct().withColumn("_k", F.lit(True))
-    outcome = requests.join(known, "ip", "left").select("ip", F.when(F.col("_k"), "unblocked").otherwise("not blocked").alias("outcome"))
-    return blocked.join(requests.select("ip"), "ip", "left_anti"), outcome
+    asked, held = (x.withColumn("_s", spelling(F.col("ip"))) for x in (requests, blocked))
+    known = held.select("_s").distinct().withColumn("_k", F.lit(True))
+    outcome = asked.join(known, "_s", "left").select("ip", F.when(F.col("_k"), "unblocked").otherwise("not blocked").alias("outcome"))
+    return held.join(asked.select("_s"), "_s", "left_anti").select(*blocked.columns), outcome
 
 
 def cloud_apply(changes: DataFrame, local_white: DataFrame) -> DataFrame:

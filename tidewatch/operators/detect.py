@@ -37,7 +37,7 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource:
         wide = wide.withColumn("idor", F.lit(0))
     bases = {w: baseline.columns(f"base_{w}") for w in cfg.windows}
     scored = written(scorer.score(written(wide), bases, cfg, F.col("idor")).withColumn("honeypot", F.lit(False)).select(*RESULT, "method"))
-    shape = consistency.as_of(scored, asked=F.col("final") >= cfg.high).select(F.col("seq").alias("_seq"), "is_benign")
+    shape = consistency.as_of(scored, keep=cfg.ring, asked=F.col("final") >= cfg.high).select(F.col("seq").alias("_seq"), "is_benign")
     scored = scorer.gated(scored.join(shape, F.col("seq") == F.col("_seq"), "left"), F.col("is_benign"), cfg)
     most = F.lit(2 * cfg.high).cast("long")
     traps = routed.where("route = 'honeypot'").withColumns({"best": most, "final": most, "is_high": F.lit(True), "high_confidence": F.lit(True), "honeypot": F.lit(True)})

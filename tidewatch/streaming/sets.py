@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.decision import ttl
+from ..operators.decision import CLOUD_TTL, LOCAL_TTL, ttl
 
 #: set, ip, op (add or del), and for adds the source and the second at which they expire (null: never).
 ENTRY = "set string, ip string, op string, source string, expires_at long"
@@ -82,9 +82,9 @@ class SetTable:
         return lambda batch, k: self.apply(entry(batch), k)
 
 
-def entries(requests: DataFrame) -> DataFrame:
-    """Changes of requests (ord, set, ip, op, source, at, seconds): blocks expire by the time to live of their source."""
-    end = F.when((F.col("set") == "black") & (F.col("op") == "add"), F.col("at") + ttl(F.col("seconds"), F.col("source")))
+def entries(requests: DataFrame, local: int = LOCAL_TTL, cloud: int = CLOUD_TTL) -> DataFrame:
+    """Changes of requests (ord, set, ip, op, source, at, seconds): blocks expire by the time to live of their source (X5; `local` and `cloud` are settings)."""
+    end = F.when((F.col("set") == "black") & (F.col("op") == "add"), F.col("at") + ttl(F.col("seconds"), F.col("source"), local, cloud))
     return requests.select("ord", "set", "ip", "op", "source", end.cast("long").alias("expires_at"))
 
 
