@@ -46,6 +46,21 @@ def test_matches_brute_force(spark, seed, window, group, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute(texts, window)
 
 
+def test_buckets_hold_whole_hashes_that_the_quicksort_parts():
+    r = random.Random(9)
+    gram = {kh: bytes(r.choice(b"abcdefgh") for _ in range(48)) for kh in range(50)}
+    rows = [(kh, ch, gram[kh] + b"%d" % ch) for kh in range(50) for ch in range(r.randint(1, 5)) for _ in range(r.randint(1, 2))]
+    made = list(suffix.buckets(rows, 20))
+    assert [x for b in made for x in b] == sorted(set(rows))
+    for bucket in made:
+        hashes = {x[0] for x in bucket}
+        assert not any(hashes & {x[0] for x in b} for b in made if b is not bucket)
+        groups = suffix.multikey_quicksort([x[2] for x in bucket], 48)
+        assert len(groups) == len(hashes) and all(len({bucket[i][0] for i in g}) == 1 for g in groups)
+        assert [gram[bucket[g[0]][0]] for g in groups] == sorted(gram[k] for k in hashes)
+    assert len(made) > 3 and max(len({x[0] for x in b}) for b in made) > 2 and not list(suffix.buckets([]))
+
+
 def test_window_200_long_text_and_repeated_rows(spark):
     r = random.Random(5)
     base = "".join(r.choice("abcdefgh ") for _ in range(5000))

@@ -5,8 +5,9 @@ Every `window`-byte string has one anchor: the leftmost position whose
 equal places, so it suffices to sort the suffixes that start at anchors and to
 extend matches to the left. Spark counts anchor hashes over the whole corpus;
 anchors that occur once are done. Runs of windows around an anchor that are equal
-as a whole collapse to one row with a count. What is left is sorted: a multikey
-quicksort orders the suffixes of an anchor hash to a shallow depth, and blind tries
+as a whole collapse to one row with a count. What is left is sorted in buckets of whole
+anchor hashes: a multikey quicksort orders a bucket's suffixes to a shallow depth, which
+parts its anchors from each other, and blind tries
 (Patricia tries that compare branch bytes first and verify once) order the groups
 with long common prefixes. At each trie node the suffixes are kept in order of
 their left sides, and neighbours give the longest two-sided match.
@@ -24,7 +25,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ from .graph import small
 
 WORD = 8
 GROUP = 20_000
+#: Suffixes from which a bucket takes no further anchor hash.
+BUCKET = 256
 #: Windows of a long text that one step handles.
 SEGMENT = 1 << 22
 #: `place` holds distances in a run in 12 bits.
@@ -266,8 +269,21 @@ def _contexts(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return texts.join(wanted, same_doc(texts, wanted)).select(texts["text"], wanted["runs"]).mapInArrow(run, CONTEXT)
 
 
+def buckets(rows: Iterable[tuple], size: int = BUCKET) -> Iterator[list[tuple]]:
+    """Rows (kh, ch, ...) in order of both, cut into buckets: whole anchor hashes until there are `size` rows. Copies of a run come once."""
+    bucket: list[tuple] = []
+    for row in rows:
+        if bucket and bucket[-1][0] != row[0] and len(bucket) >= size:
+            yield bucket
+            bucket = []
+        if not bucket or bucket[-1][:2] != row[:2]:
+            bucket.append(row)
+    if bucket:
+        yield bucket
+
+
 def _sort_groups(contexts: DataFrame, window: int) -> DataFrame:
-    """Ranges of windows (counted from the run's first) that occur elsewhere, by deep-shallow sorting of each anchor hash."""
+    """Ranges of windows (counted from the run's first) that occur elsewhere, by deep-shallow sorting of buckets of anchor hashes."""
 
     def solve(group: list[tuple]) -> list[dict]:
         rights = [b[before : before + window] for _, _, _, before, _, b in group]
@@ -283,17 +299,9 @@ def _sort_groups(contexts: DataFrame, window: int) -> DataFrame:
         return out
 
     def run(batches):
-        group, ready = [], []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[-1][0] != row[0]:
-                    ready += solve(group)
-                    group = []
-                if not group or group[-1][1] != row[1]:  # copies of a run come once
-                    group.append(row)
-            yield pa.RecordBatch.from_pylist(ready, schema=_FOUND)
-            ready = []
-        yield pa.RecordBatch.from_pylist(solve(group) if group else [], schema=_FOUND)
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for bucket in buckets(rows):
+            yield pa.RecordBatch.from_pylist(solve(bucket), schema=_FOUND)
 
     return contexts.repartition("kh").sortWithinPartitions("kh", "ch").mapInArrow(run, FOUND)
 
