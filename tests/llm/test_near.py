@@ -87,3 +87,18 @@ def test_names_of_scratch_columns_are_free(spark):
     got = sorted(tuple(r) for r in near.keep_one(docs).collect())
     assert got == [rows[0], rows[2], rows[3]]
     assert near.keep_one(docs).columns == docs.columns
+
+
+def test_sets_of_pairs_stay_inside_spark(spark, monkeypatch):
+    r = random.Random(5)
+    made = {i: sorted(r.sample(range(-30, 30), r.randint(20, 50))) for i in range(40)}
+    node = lambda i: (i, -i)
+    sets = spark.createDataFrame([(node(i), x) for i, x in made.items()], f"node {near.NODE}, set array<int>")
+    pairs = spark.createDataFrame([(node(i), node(j)) for i in made for j in range(i)], f"a {near.NODE}, b {near.NODE}")
+    plans, materialize = [], near.materialize
+    monkeypatch.setattr(near, "materialize", lambda df: plans.append(df._jdf.queryExecution().toString()) or materialize(df))
+    got = {(x["a"]["h1"], x["b"]["h1"]) for x in near.verified(sets, pairs, 0.5).collect()}
+    similar = lambda a, b: len(a & b) >= 0.5 * len(a | b)
+    assert got == {(i, j) for i in made for j in range(i) if similar(set(made[i]), set(made[j]))}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+    assert len(got) > 10

@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ NODE = "struct<h1:bigint,h2:bigint>"
 
 
 def shingle_sets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set (sorted 32-bit hashes as bytes) of the texts that `wanted` (node) names, written."""
+    """node, set (sorted 32-bit hashes) of the texts that `wanted` (node) names, written."""
 
     def run(batches):
         for batch in batches:
@@ -175,44 +176,29 @@ def shingle_sets(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
                 doc, element, n = shingles(part.column("_text"))
                 key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | (element >> np.uint64(32)))
                 at = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
-                low = (key & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield pa.record_batch([part.column("node"), pa.array([low[at[i] : at[i + 1]].tobytes() for i in range(n)], pa.binary())], names=["node", "set"])
+                low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                yield pa.record_batch([part.column("node"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(low))], names=["node", "set"])
 
-    of = nodes.join(small(materialize(wanted)), "node", "left_semi").select("node", "_text").mapInArrow(run, f"node {NODE}, set binary")
+    of = nodes.join(small(materialize(wanted)), "node", "left_semi").select("node", "_text").mapInArrow(run, f"node {NODE}, set array<int>")
     return materialize(of.dropDuplicates(["node"]))
 
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `threshold`."""
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `threshold`, written.
 
+    The sets of a pair stay inside Spark: Arrow batches of pairs would hold two sets in each of their rows, on both sides.
+    """
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    return materialize(both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {NODE}, b {NODE}"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    close = shared * (1 + threshold) >= threshold * (F.size("sa") + F.size("sb")) - 1e-9
+    return materialize(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"))
 
 
 def shareable(sets: DataFrame) -> DataFrame:
     """node, n (shingles) and s (shingles that some other of these sets has too)."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                each = [np.frombuffer(x, "<u4") for x in part.column("set").to_pylist()]
-                rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                yield pa.record_batch([pa.array(np.concatenate(each).astype(np.int64)), part.column("node").take(pa.array(rows))], names=["t", "node"])
-
-    lone = sets.mapInArrow(run, f"t long, node {NODE}").groupBy("t").agg(F.count("*").alias("k"), F.max("node").alias("node")).where("k = 1")
+    lone = sets.select(F.explode("set").alias("t"), "node").groupBy("t").agg(F.count("*").alias("k"), F.max("node").alias("node")).where("k = 1")
     lone = lone.groupBy("node").agg(F.count("*").alias("u"))
-    n = (F.octet_length("set") / 4).cast("long")
+    n = F.size("set").cast("long")
     return sets.join(lone, "node", "left").select("node", n.alias("n"), (n - F.coalesce("u", F.lit(0))).alias("s"))
 
 
@@ -222,8 +208,10 @@ def sketches(sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             flips = np.zeros((batch.num_rows, 64 * SKETCH), np.uint8)
-            for k, x in enumerate(batch.column("set").to_pylist()):
-                flips[k] = np.bincount(np.frombuffer(x, "<u4") % (64 * SKETCH), minlength=64 * SKETCH) & 1
+            sets = batch.column("set")
+            marks, ends = sets.flatten().to_numpy().view(np.uint32) % np.uint32(64 * SKETCH), np.cumsum(pc.list_value_length(sets).to_numpy())
+            for k, (s, e) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+                flips[k] = np.bincount(marks[s:e], minlength=64 * SKETCH) & 1
             bits = np.packbits(flips, axis=1).view(np.int64)
             yield pa.record_batch([batch.column("node"), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH))], names=["node", *(f"p{k}" for k in range(SKETCH))])
 
