@@ -1,6 +1,6 @@
 import random
 
-from tidewatch.llm.graph import components
+from tidewatch.llm.graph import components, extended
 
 
 def test_components_match_union_find(spark):
@@ -21,3 +21,14 @@ def test_components_match_union_find(spark):
         got = {x["node"]: x["label"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {n: root(n) for e in edges for n in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_extended_labels_are_those_of_all_edges(spark):
+    r = random.Random(9)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(240)]
+    edges = [(a, b) for a, b in edges if a != b]
+    of = lambda e: spark.createDataFrame(e, "a long, b long")
+    want = {(x["node"], x["label"]) for x in components(of(edges)).collect()}
+    for k in (1, 100, len(edges) - 1):
+        got = [(x["node"], x["label"]) for x in extended(components(of(edges[:k])), of(edges[k:])).collect()]
+        assert set(got) == want and len(got) == len(want)
