@@ -1,6 +1,9 @@
 import random
 
-from tidewatch.llm.graph import components, extended
+from pyspark.sql import functions as F
+
+from tidewatch.llm import graph
+from tidewatch.llm.graph import components, extended, open_pairs, tiled_pairs
 
 
 def test_components_match_union_find(spark):
@@ -32,3 +35,14 @@ def test_extended_labels_are_those_of_all_edges(spark):
     for k in (1, 100, len(edges) - 1):
         got = [(x["node"], x["label"]) for x in extended(components(of(edges[:k])), of(edges[k:])).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_tiles_hold_all_open_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 8)
+    r = random.Random(10)
+    rows = [(b, n, n if r.random() < 0.7 else r.randrange(5), r.randint(20, 60)) for b, size in ((1, 70), (2, 40), (3, 5)) for n in r.sample(range(1000), size)]
+    left = spark.createDataFrame(rows, "bucket long, node long, label long, len int")
+    left = left.join(left.groupBy("bucket").agg(F.count("*").alias("k")), "bucket").withColumn("part", F.floor(F.col("len") / 5)).localCheckpoint()
+    near = F.abs(F.col("l.len") - F.col("r.len")) <= 5
+    want, got = open_pairs(left, near).collect(), tiled_pairs(left, near).collect()
+    assert len(got) == len(set(got)) > 500 and set(got) == set(want)

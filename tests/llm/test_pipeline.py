@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from test_lines_similar import twins
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -28,3 +30,10 @@ def test_stages_in_order_and_columns(spark, tmp_path):
     assert passage not in ids[3][42] and passage not in ids[3][43] and ids[3][5] == base[5]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {row["doc_id"] for row in packed} == set(range(44))
+
+
+def test_line_dedup_finds_lines_that_share_large_blocks_only(spark):
+    made = twins()
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {i: x if i < 150 else "" for i, x in enumerate(made)}
