@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tidewatch import config
 from tidewatch.config import Confirm
+from tidewatch.functions import scalars as S
 from tidewatch.operators import baseline, confirm, detect, reports, scorer, windows
+from tidewatch.operators import indicators as ind
 from tidewatch.operators.indicators import indicators
 
 FULL = "seq long, ts long, source_ip string, source string, method string, path string, status int, user_agent string, referer string"
@@ -126,3 +128,36 @@ def test_detector_trusts_what_the_preload_gives(spark, traffic):
 
 def test_detector_on_no_events(spark, traffic):
     assert detect.detect(traffic.limit(0)).count() == 0
+
+
+def test_paths_and_agents_are_looked_up_once_a_value(spark, monkeypatch):
+    paths, agents = ["/a", "/%2561dmin/x", "/trap//x", "/favicon.ico", "/q?x=<script>", "/i/77.png", None], ["Mozilla/5.0 Chrome/120.0 Safari/537.36", "sqlmap/1.7", "", None]
+    e = requests(spark, [(1000 + i, "1.1.1.1", paths[i % 7], 404, agents[i % 4]) for i in range(56)]).localCheckpoint()
+    cfg = config.DetectorConfig(honeypot_paths=("/trap/",))
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(indicators(e, cfg).withColumn("route", ind.route(cfg, clean=True)))
+    for few in (100, 0):
+        monkeypatch.setattr(ind, "FEW_VALUES", few)
+        rows = ind.looked_up(e, cfg)
+        got = indicators(rows.withColumn("route", ind.route(cfg, known=True)), cfg)
+        assert plain(got.select(*e.columns, *ind.COUNTERS, "route")) == want
+        assert ("ArrowEvalPython" in rows._jdf.queryExecution().optimizedPlan().toString()) == (few == 0)
+    assert {r[0] for r in rows.where("path like '/i/%'").select("_base").collect()} == {r[0] for r in e.where("path like '/i/%'").select(S.normalize_404_path(F.col("path"))).collect()}
+
+
+def test_snapshots_over_panes_are_those_over_events(spark):
+    r = random.Random(3)
+    e = indicators(requests(spark, [(1000 + r.randrange(200), f"1.1.1.{r.randrange(3)}", "/a", r.choice([200, 404]), "") for _ in range(300)]))
+    for w in (10, 30, 60):
+        assert set(windows.snapshots(windows.panes(e), w).collect()) == set(windows.snapshots(e, w).collect())
+
+
+def test_baselines_of_several_windows_join_the_events_once(spark):
+    ticks = [spark.createDataFrame([(1000, "qps", 1.0 + k, 2.0 + k, 3.0, 160), (1020, "r4xx", 0.1, 0.2 + k, 0.3, 30)], TICKS) for k in range(3)]
+    e = spark.createDataFrame(list(enumerate([999, 1005, 1300, 9000, None])), "seq long, ts long")
+    want = e
+    for k in range(3):
+        want = baseline.learnt(want, ticks[k], F.lit(1000), f"b{k}")
+    got = baseline.all_learnt(e, {f"b{k}": t for k, t in enumerate(ticks)}, F.lit(1000), times=e)
+    assert got.columns == want.columns and got.orderBy("seq").collect() == want.orderBy("seq").collect()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

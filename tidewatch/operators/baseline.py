@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -170,29 +171,39 @@ def baselines(ticks: DataFrame, start: Column, before: DataFrame | None = None)
 
 
 def learnt(events: DataFrame, ticks: DataFrame, start: Column, name: str, every: int = TICK, conf: float = CONFIDENCE) -> DataFrame:
-    """The events with a struct `name`, the baseline that holds at each: {dim}_p50, _p95, _n, conf, own_*.
+    """The events with a struct `name`, the baseline that holds at each (see `all_learnt`)."""
+    return all_learnt(events, {name: ticks}, start, every, conf)
+
+
+def all_learnt(events: DataFrame, ticks: dict[str, DataFrame], start: Column, every: int = TICK, conf: float = CONFIDENCE, times: DataFrame | None = None) -> DataFrame:
+    """The events with a struct for each name in `ticks`, the baseline of these that holds at each: {dim}_p50, _p95, _n, conf, own_*.
 
     The last tick up to an event's own one counts. Until the tick has READY_SAMPLES samples over all dimensions and
     learning is READY_AGE seconds old, wide defaults of no confidence stand in; own_qps_* and own_conf are what has been
-    learnt in any case. Events without a time get the defaults.
+    learnt in any case. Events without a time get the defaults. All names are joined at once, as the events are wide;
+    `times` has their times (ts) where the events themselves are dear to work out twice.
     """
     at = (F.floor(F.col("ts") / every) * every).cast("long")
     value = "struct<p50:double,p95:double,n:bigint>"
-    asked = events.select(at.alias("tick")).where("tick is not null").distinct().select("tick", F.explode(F.array(*map(F.lit, DIMS))).alias("dim"), F.lit(None).cast(value).alias("p"))
-    known = ticks.select("tick", "dim", F.struct("p50", "p95", "n").cast(value).alias("p")).unionByName(asked)
-    past = Window.partitionBy("dim").orderBy("tick").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(d).alias("dim")) for name in ticks for d in DIMS])).alias("x")
+    asked = (events if times is None else times).select(at.alias("tick")).where("tick is not null").distinct().select("tick", each).select("tick", "x.*", F.lit(None).cast(value).alias("p"))
+    known = reduce(DataFrame.unionByName, [t.select("tick", F.lit(name).alias("name"), "dim", F.struct("p50", "p95", "n").cast(value).alias("p")) for name, t in ticks.items()], asked)
+    past = Window.partitionBy("name", "dim").orderBy("tick").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     each = known.withColumn("p", F.last("p", ignorenulls=True).over(past))
-    pick = lambda d, k: F.max(F.when(F.col("dim") == d, F.col("p").getField(k)))
-    wide = each.groupBy(F.col("tick").alias("_at")).agg(F.struct(*[F.coalesce(pick(d, k), F.lit(0)).alias(f"{d}_{k}") for d in DIMS for k in ("p50", "p95", "n")]).alias("_own"))
+    pick = lambda name, d, k: F.coalesce(F.max(F.when((F.col("name") == name) & (F.col("dim") == d), F.col("p").getField(k))), F.lit(0)).alias(f"{d}_{k}")
+    wide = each.groupBy(F.col("tick").alias("_at")).agg(*[F.struct(*[pick(name, d, k) for d in DIMS for k in ("p50", "p95", "n")]).alias(f"_own_{name}") for name in ticks])
     both = events.withColumn("_tick", at).join(wide, F.col("_tick") == F.col("_at"), "left")
-    own = lambda f: F.coalesce(F.col("_own").getField(f), F.lit(0))
-    total = sum((own(f"{d}_n") for d in DIMS), F.lit(0))
-    both = both.withColumn("_ready", F.coalesce((total >= READY_SAMPLES) & (F.col("ts") - start >= READY_AGE), F.lit(False)))
-    ready = lambda f, other: F.when(F.col("_ready"), own(f)).otherwise(F.lit(other)).alias(f)
-    dims = [x for d in DIMS for x in (ready(f"{d}_p50", 0.0), ready(f"{d}_p95", 1000.0 if d == "qps" else 1.0), ready(f"{d}_n", 0))]
-    conf_now = F.when(F.col("_ready"), F.lit(conf)).otherwise(F.lit(0.0)).alias("conf")
-    raw = [own(f"qps_{k}").alias(f"own_qps_{k}") for k in ("p50", "p95", "n")]
-    return both.withColumn(name, F.struct(*dims, conf_now, *raw, F.lit(conf).alias("own_conf"))).drop("_tick", "_at", "_own", "_ready")
+    bases = {}
+    for name in ticks:
+        own = lambda f, name=name: F.coalesce(F.col(f"_own_{name}").getField(f), F.lit(0))
+        total = sum((own(f"{d}_n") for d in DIMS), F.lit(0))
+        both = both.withColumn(f"_ready_{name}", F.coalesce((total >= READY_SAMPLES) & (F.col("ts") - start >= READY_AGE), F.lit(False)))
+        ready = lambda f, other, name=name, own=own: F.when(F.col(f"_ready_{name}"), own(f)).otherwise(F.lit(other)).alias(f)
+        dims = [x for d in DIMS for x in (ready(f"{d}_p50", 0.0), ready(f"{d}_p95", 1000.0 if d == "qps" else 1.0), ready(f"{d}_n", 0))]
+        conf_now = F.when(F.col(f"_ready_{name}"), F.lit(conf)).otherwise(F.lit(0.0)).alias("conf")
+        raw = [own(f"qps_{k}").alias(f"own_qps_{k}") for k in ("p50", "p95", "n")]
+        bases[name] = F.struct(*dims, conf_now, *raw, F.lit(conf).alias("own_conf"))
+    return both.withColumns(bases).drop("_tick", "_at", *(f"_{x}_{name}" for name in ticks for x in ("own", "ready")))
 
 
 def columns(name: str) -> dict[str, Column]:

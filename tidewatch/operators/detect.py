@@ -22,23 +22,28 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource:
     events as of each event whose score could be high. No events give no rows.
     """
     edge = F.col("edge_ip") if "edge_ip" in events.columns else None
-    own = indicators.cleaned(events)
-    routed = written(own.withColumn("route", indicators.route(cfg, edge, clean=True)).where("route in ('scored', 'honeypot')"))
-    own = written(indicators.indicators(routed.where("route = 'scored'"), cfg))
+    asked = {"seq", "ts", "source_ip", "source", "path", "status", "method", "user_agent", "referer", "edge_ip", "auth_action", "body_hits", "xxe", "upload"}
+    own = indicators.looked_up(written(events.select(*(c for c in events.columns if c in asked))), cfg)
+    routed = own.withColumn("route", indicators.route(cfg, edge, known=True)).where("route in ('scored', 'honeypot')")
+    routed = written(indicators.indicators(routed, cfg).drop("user_agent", "referer"))
+    own = routed.where("route = 'scored'")
     start = F.lit(own.agg(F.min("ts")).first()[0]).cast("long")
-    wide = windows.ema(windows.window_counters(own, cfg.windows))
-    for w in cfg.windows:
-        ticks = written(baseline.baselines(baseline.tick_percentiles(windows.snapshots(own, w), w), start))
-        wide = baseline.learnt(wide, ticks, start, f"base_{w}", conf=preload.confidence if preload else baseline.CONFIDENCE)
     if resource:
         path, ident, most = resource
-        wide = wide.join(idor(own, path, ident, most=most).select(F.col("seq").alias("_seq"), "idor"), F.col("seq") == F.col("_seq"), "left").drop("_seq")
+        own = own.join(idor(own, path, ident, most=most).select(F.col("seq").alias("_seq"), "idor"), F.col("seq") == F.col("_seq"), "left").drop("_seq")
     else:
-        wide = wide.withColumn("idor", F.lit(0))
+        own = own.withColumn("idor", F.lit(0))
+    wide = windows.window_counters(windows.ema(own), cfg.windows)
+    # Whole panes make up the windows of the snapshots.
+    pane = written(windows.panes(own, baseline.TICK)) if all(w % baseline.TICK == 0 for w in cfg.windows) else own
+    ticks = {f"base_{w}": written(baseline.baselines(baseline.tick_percentiles(windows.snapshots(pane, w), w), start)) for w in cfg.windows}
+    wide = baseline.all_learnt(wide, ticks, start, conf=preload.confidence if preload else baseline.CONFIDENCE, times=own)
     bases = {w: baseline.columns(f"base_{w}") for w in cfg.windows}
     scored = written(scorer.score(written(wide), bases, cfg, F.col("idor")).withColumn("honeypot", F.lit(False)).select(*RESULT, "method"))
-    shape = consistency.as_of(scored, keep=cfg.ring, asked=F.col("final") >= cfg.high).select(F.col("seq").alias("_seq"), "is_benign")
-    scored = scorer.gated(scored.join(shape, F.col("seq") == F.col("_seq"), "left"), F.col("is_benign"), cfg)
+    high = F.coalesce(F.col("final") >= cfg.high, F.lit(False))
+    shape = consistency.as_of(scored, keep=cfg.ring, asked=high).select(F.col("seq").alias("_seq"), "is_benign")
+    judged = scorer.gated(scored.where(high).join(shape, F.col("seq") == F.col("_seq"), "left"), F.col("is_benign"), cfg)
+    scored = scored.where(~high).select(*RESULT).unionByName(judged.select(*RESULT))
     most = F.lit(2 * cfg.high).cast("long")
     traps = routed.where("route = 'honeypot'").withColumns({"best": most, "final": most, "is_high": F.lit(True), "high_confidence": F.lit(True), "honeypot": F.lit(True)})
     return scored.select(*RESULT).unionByName(traps.select(*RESULT))

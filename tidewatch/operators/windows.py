@@ -41,9 +41,9 @@ def trailing_counters(events: DataFrame, sizes: Sequence[int] = (10, 30, 60), co
     A running sum less the running sum up to `size` seconds ago: one exchange, one sort.
     """
     _, so_far, before = _frames("source_ip")
-    wide = chunked(events, max(sizes))
-    sums = {f"{c}_{w}": F.sum(c).over(so_far) - F.coalesce(F.sum(c).over(before(w)), F.lit(0)) for w in sizes for c in counters}
-    return wide.withColumns(sums).where("_own").drop("_chunk", "_own")
+    wide = chunked(events, max(sizes)).withColumns({f"_s_{c}": F.sum(c).over(so_far) for c in counters})
+    sums = {f"{c}_{w}": F.col(f"_s_{c}") - F.coalesce(F.sum(c).over(before(w)), F.lit(0)) for w in sizes for c in counters}
+    return wide.withColumns(sums).where("_own").drop("_chunk", "_own", *(f"_s_{c}" for c in counters))
 
 
 def trailing_distinct(rows: DataFrame, key: str, kinds: dict[str, Column], value: Column, sizes: Sequence[int]) -> DataFrame:
@@ -67,7 +67,8 @@ def distinct_bases(events: DataFrame, sizes: Sequence[int] = (10, 30, 60)) -> Da
     """Distinct normalised paths of 404s (d404_W) and of other 4xx but 499 (d4xx_W) in the trailing windows."""
     status = F.col("status")
     kinds = {"d404": status == 404, "d4xx": status.between(400, 498) & (status != 404)}
-    return trailing_distinct(events, "source_ip", kinds, S.normalize_404_path(F.col("path")), sizes)
+    base = F.col("_base") if "_base" in events.columns else S.normalize_404_path(F.col("path"))
+    return trailing_distinct(events, "source_ip", kinds, base, sizes).drop("_base")
 
 
 def window_counters(events: DataFrame, sizes: Sequence[int] = (10, 30, 60)) -> DataFrame:
@@ -107,6 +108,11 @@ def snapshots(events: DataFrame, size: int = 60, every: int = 10, counters: Sequ
     return sums.select((F.unix_timestamp(F.col("w.end")) - 1).alias("tick"), "source_ip", *counters)
 
 
+def panes(events: DataFrame, every: int = 10, counters: Sequence[str] = COUNTERS) -> DataFrame:
+    """ts, source_ip and the counters of each address in (ts - every, ts]: `snapshots` of sizes that are multiples of `every` are the same over them."""
+    return snapshots(events, every, every, counters).withColumnRenamed("tick", "ts")
+
+
 def port_scans(ports: DataFrame, limits: Sequence[tuple[int, int]] = ((5, 5), (30, 15), (120, 40)), weight: int = 30) -> DataFrame:
     """The first event of each address at which some window holds more distinct ports than its limit."""
     counts = [f"ports_{w}" for w, _ in limits]
