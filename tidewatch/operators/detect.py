@@ -39,7 +39,7 @@ def detect(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), resource:
     ticks = {f"base_{w}": written(baseline.baselines(baseline.tick_percentiles(windows.snapshots(pane, w), w), start)) for w in cfg.windows}
     wide = baseline.all_learnt(wide, ticks, start, conf=preload.confidence if preload else baseline.CONFIDENCE, times=own)
     bases = {w: baseline.columns(f"base_{w}") for w in cfg.windows}
-    scored = written(scorer.score(written(wide), bases, cfg, F.col("idor")).withColumn("honeypot", F.lit(False)).select(*RESULT, "method"))
+    scored = written(scorer.score(wide, bases, cfg, F.col("idor")).withColumn("honeypot", F.lit(False)).select(*RESULT, "method"))
     high = F.coalesce(F.col("final") >= cfg.high, F.lit(False))
     shape = consistency.as_of(scored, keep=cfg.ring, asked=high).select(F.col("seq").alias("_seq"), "is_benign")
     judged = scorer.gated(scored.where(high).join(shape, F.col("seq") == F.col("_seq"), "left"), F.col("is_benign"), cfg)
